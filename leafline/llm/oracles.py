@@ -1,5 +1,14 @@
 """DuckDB SQL for the queries that SQL can express."""
 
+#: A-Z lower-cased, null as empty.
+_NORMAL = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+OP1 = f"""
+WITH d AS (SELECT doc_id, {_NORMAL} AS t FROM documents),
+g AS (SELECT t, max(doc_id) AS keep_id, count(*) AS group_size, sha256(t) AS text_sha256 FROM d GROUP BY t)
+SELECT d.doc_id, g.keep_id, g.group_size, d.doc_id = g.keep_id AS kept, g.text_sha256 FROM d JOIN g ON d.t = g.t
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op1_exact_dedup": OP1}

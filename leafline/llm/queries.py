@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leafline.llm import bpe, sstable, token_counts
+from leafline.llm import bpe, exact_dedup, mixing, quality_rules, sstable, token_counts
 from leafline.session import load
 
 #: Vocabulary files; their folder is a parameter of the operators.
@@ -18,6 +18,11 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = exact_dedup.groups(load(spark, sf_dir, "documents"))
+    return got.select(F.col("key").alias("doc_id"), F.col("keep_key").alias("keep_id"), "group_size", "kept", F.col("sha256").alias("text_sha256"))
+
+
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = load(spark, sf_dir, "documents")
     return token_counts.suffix_sums(token_counts.histogram(token_counts.lengths(docs, vocabulary(BYTE_BPE))))
@@ -34,5 +39,15 @@ def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(docs, vocabulary(BYTE_BPE)).drop("text")
 
 
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = mixing.plan(load(spark, sf_dir, "documents"))
+    return p.select(F.col("key").alias("doc_id"), "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "source")
+
+
+def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = quality_rules.verdicts(load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels"))
+    return got.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "failed")
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op3_token_counts, op6_sorted_shards, op8_bpe)}
+    return {f.__name__: f for f in (op1_exact_dedup, op3_token_counts, op6_sorted_shards, op7_mixing, op8_bpe, op10_quality_rules)}
