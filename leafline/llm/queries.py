@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leafline.llm import bpe, exact_dedup, mixing, quality_rules, sstable, token_counts
+from leafline.llm import bpe, exact_dedup, mixing, ngram_join, quality_rules, sstable, substring_dedup, token_counts
 from leafline.session import load
 
 #: Vocabulary files; their folder is a parameter of the operators.
@@ -23,11 +23,20 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select(F.col("key").alias("doc_id"), F.col("keep_key").alias("keep_id"), "group_size", "kept", F.col("sha256").alias("text_sha256"))
 
 
+def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got, _ = ngram_join.joined(load(spark, sf_dir, "documents"))
+    return got.select(F.col("key").alias("doc_id"), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"))
+
+
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = load(spark, sf_dir, "documents")
     return token_counts.suffix_sums(token_counts.histogram(token_counts.lengths(docs, vocabulary(BYTE_BPE))))
 
 
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.digests(load(spark, sf_dir, "documents"))
+
+
 def op6_sorted_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, out = load(spark, sf_dir, "documents"), sstable.fresh_dir(spark)
     manifest = sstable.write(docs, vocabulary(WORD_BPE), out, end_id=2)
@@ -50,4 +59,4 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_exact_dedup, op3_token_counts, op6_sorted_shards, op7_mixing, op8_bpe, op10_quality_rules)}
+    return {f.__name__: f for f in (op1_exact_dedup, op2_ngram_join, op3_token_counts, op5_substring_dedup, op6_sorted_shards, op7_mixing, op8_bpe, op10_quality_rules)}
