@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leafline.llm import bpe, exact_dedup, mixing, ngram_join, quality_rules, sstable, substring_dedup, token_counts
+from leafline.llm import bpe, exact_dedup, license_scan, mixing, ngram_join, quality_gam, quality_rules, sstable, substring_dedup, token_counts
 from leafline.session import load
 
 #: Vocabulary files; their folder is a parameter of the operators.
@@ -33,6 +33,11 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.suffix_sums(token_counts.histogram(token_counts.lengths(docs, vocabulary(BYTE_BPE))))
 
 
+def op4_quality_gam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = quality_gam.scores(load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels"))
+    return got.withColumnRenamed("key", "doc_id")
+
+
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.digests(load(spark, sf_dir, "documents"))
 
@@ -53,10 +58,14 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select(F.col("key").alias("doc_id"), "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "source")
 
 
+def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(license_scan.corpus_paths(load(spark, sf_dir, "documents"))).drop("text")
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = quality_rules.verdicts(load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels"))
     return got.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "failed")
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_exact_dedup, op2_ngram_join, op3_token_counts, op5_substring_dedup, op6_sorted_shards, op7_mixing, op8_bpe, op10_quality_rules)}
+    return {f.__name__: f for f in (op1_exact_dedup, op2_ngram_join, op3_token_counts, op4_quality_gam, op5_substring_dedup, op6_sorted_shards, op7_mixing, op8_bpe, op9_license_scan, op10_quality_rules)}
