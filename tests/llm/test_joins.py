@@ -135,7 +135,6 @@ def brute_substring(rows, window=20):
 
 @pytest.mark.parametrize("hot", [False, True])
 def test_substring_dedup(spark, docs, empty, hot, monkeypatch):
-    monkeypatch.setattr(substring_dedup, "SLAB", 20_000)
     if hot:
         real = substring_dedup.hot_minimisers
         monkeypatch.setattr(substring_dedup, "hot_minimisers", lambda s, w, k, share: real(s, w, k, 0.002))
