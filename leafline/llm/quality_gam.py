@@ -137,7 +137,7 @@ def quadrants(g: np.ndarray, h: np.ndarray) -> tuple[float, np.ndarray]:
 def fit(x: np.ndarray, y: np.ndarray) -> Model:
     """The model for features x and labels y (0 or 1)."""
     share = float(y.mean()) if len(y) else 0.5
-    if not 0 < share < 1:
+    if not len(y) or not 0 < share < 1:
         return Model(float(np.log((share + 1e-6) / (1 - share + 1e-6))))
     model = Model(float(np.log(share / (1 - share))))
     for j in range(x.shape[1]):
