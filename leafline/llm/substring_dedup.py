@@ -29,7 +29,7 @@ from leafline.session import ship
 U = np.uint64
 WINDOW, SEED = 20, 3
 #: Bytes of text for each bucket, on average; bytes of text that a task packs at a time.
-BUCKET_BYTES, SLAB = 6 << 20, 12 << 20
+BUCKET_BYTES, SLAB = 3 << 20, 5 << 20
 LEAST = -(1 << 63)
 
 
@@ -122,7 +122,7 @@ def pack(data: np.ndarray, start: np.ndarray, stop: np.ndarray, docs: np.ndarray
     view = data.tobytes() if len(start) > 64 else None
     body = b"".join([view[a:b] for a, b in zip(start.tolist(), stop.tolist(), strict=True)]) if view else b"".join([data[a:b].tobytes() for a, b in zip(start.tolist(), stop.tolist(), strict=True)])
     head = np.int64(len(start)).tobytes() + np.ascontiguousarray(docs).tobytes() + at.astype("<i8").tobytes() + (stop - start).astype("<i8").tobytes()
-    return pa.compress(head + body, codec="zstd", asbytes=True)
+    return pa.Codec("zstd", compression_level=4).compress(head + body, asbytes=True)
 
 
 def unpack(blob: bytes, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
