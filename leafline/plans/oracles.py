@@ -15,7 +15,7 @@ FRAMES = f"""frames AS (SELECT page, row_number() OVER (PARTITION BY page ORDER
 FEW = "few AS (SELECT * FROM frames WHERE frame_id <= 6)"
 READ = "rd AS (SELECT *, CASE WHEN score >= 0.1 THEN repeat('ab ', CAST((x1 + box_id) % 9 AS INTEGER)) END AS text FROM boxes)"
 LINES = "tl AS (SELECT doc_id, i - 1 AS line_no, l[i] AS text FROM (SELECT doc_id, l, unnest(range(1, len(l) + 1)) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents)))"
-PIXELS = f"""px AS (SELECT page, y, x, max(p) AS p FROM (SELECT o_orderkey % (SELECT greatest(1, count(*) // 150) FROM orders) AS page, (o_orderkey * 13 + o_custkey * 3) % {MAP} AS y, (o_custkey * 7 + o_orderkey // 5) % {MAP} AS x,
+PIXELS = f"""px AS (SELECT page, y, x, max(p) AS p FROM (SELECT o_orderkey % (SELECT greatest(1, count(*) // 150) FROM orders) AS page, ((o_orderkey * 7919 + o_custkey * 31) // 13) % {MAP} AS y, ((o_custkey * 104729 + o_orderkey * 17) // 11) % {MAP} AS x,
   CAST(CAST(round(o_totalprice * 100) AS BIGINT) % 1000 AS DOUBLE) / 1000 AS p FROM orders) GROUP BY ALL)"""
 MASK = f"mask AS (SELECT DISTINCT page, y + dy AS y, x + dx AS x FROM px, (VALUES (0), (1)) a(dy), (VALUES (0), (1)) b(dx) WHERE p > 0.3 AND y + dy < {MAP} AND x + dx < {MAP})"
 PARTS = "reach AS (SELECT page, y, x, y * 1048576 + x AS c FROM mask UNION SELECT m.page, m.y, m.x, r.c FROM reach r JOIN mask m ON m.page = r.page AND abs(m.y - r.y) <= 1 AND abs(m.x - r.x) <= 1 AND m.y * 1048576 + m.x > r.c), parts AS (SELECT page, y, x, min(c) AS comp FROM reach GROUP BY page, y, x)"

@@ -68,7 +68,7 @@ def pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = max(1, o.count() // 150)
     k, c = F.col("o_orderkey"), F.col("o_custkey")
     p = (F.round(F.col("o_totalprice") * 100).cast("long") % 1000).cast("double") / 1000
-    return o.groupBy((k % n).alias("page"), ((k * 13 + c * 3) % MAP).alias("y"), ((c * 7 + F.floor(k / 5)) % MAP).alias("x")).agg(F.max(p).alias("p"))
+    return o.groupBy((k % n).alias("page"), (F.floor((k * 7919 + c * 31) / 13) % MAP).alias("y"), (F.floor((c * 104729 + k * 17) / 11) % MAP).alias("x")).agg(F.max(p).alias("p"))
 
 
 def log(spark: SparkSession, sf_dir: str) -> DataFrame:
