@@ -78,3 +78,14 @@ def placement(b: dict, scale: Column, page_height: Column, text_width: Column, s
     size = F.greatest(h * size_of, F.lit(1.0))
     wide = text_width * size
     return F.when((w >= 1) & (h >= 1), F.struct((b["x1"] * scale).alias("x"), (page_height - b["y2"] * scale + size * descent).alias("y"), size.alias("font_size"), F.when(wide > 0, w / wide).otherwise(F.lit(1.0)).alias("sx")))
+
+
+def upright_box(b: dict, score: Column, scale_x: Column, scale_y: Column, width: Column, height: Column, unclip: float = UNCLIP) -> dict[str, Column]:
+    """A component's bounding box (pixels of the map, ends included) moved outwards, scaled back to the page, clamped and rounded."""
+    w, h = b["x2"] - b["x1"] + 1, b["y2"] - b["y1"] + 1
+    grow = w * h * unclip / (2 * (w + h))
+
+    def back(x: Column, scale: Column, most: Column) -> Column:
+        return round_half_up(F.least(most - 1, F.greatest(F.lit(0), x / scale))).cast("long")
+
+    return {"x1": back(b["x1"] - grow, scale_x, width), "y1": back(b["y1"] - grow, scale_y, height), "x2": back(b["x2"] + grow, scale_x, width), "y2": back(b["y2"] + grow, scale_y, height), "score": score}

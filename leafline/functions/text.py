@@ -96,3 +96,26 @@ def page_list(spec: Column, n_pages: Column, current: Column) -> Column:
         return F.when(t.rlike(r"^\d+([-\x{2013}~]\d+)?$") & (lo <= hi), F.sequence(lo, hi)).otherwise(F.array().cast("array<long>"))
 
     return F.array_sort(F.array_distinct(F.flatten(F.transform(tokens, pages))))
+
+
+def clipped(text: Column, x1: Column, x2: Column, left: Column, right: Column) -> Column:
+    """The part of a text whose box [x1, x2] lies inside [left, right], all characters equally wide; trimmed, empty outside."""
+    w = (x2 - x1).cast("double")
+    share = lambda x: F.greatest(F.lit(0.0), F.least(F.lit(1.0), (x - x1) / w))
+    a, b, n = share(F.greatest(x1, left)), share(F.least(x2, right)), F.length(text)
+    start = F.floor(a * n + 0.5)
+    piece = F.substring(text, (start + 1).cast("int"), (F.floor(b * n + 0.5) - start).cast("int"))
+    return F.when((w >= 1) & (b > a), trim(piece)).otherwise(F.lit(""))
+
+
+def title_or_file(title: Column, path: Column) -> Column:
+    """The title, or else the last part of the path."""
+    return F.coalesce(F.nullif(title, F.lit("")), F.element_at(F.split(path, r"[\\\\/]"), -1))
+
+
+def escaped(text: Column) -> Column:
+    return F.replace(F.replace(text, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;"))
+
+
+def language(locale: Column) -> Column:
+    return F.when(F.startswith(F.lower(locale), F.lit("zh")), "zh").otherwise("en")

@@ -62,3 +62,9 @@ def task_cards(events: DataFrame, task: str = "task_id", by: tuple = ("ts", "eve
 def log_ring(log: DataFrame, most: int = 2000, by: str = "seq") -> DataFrame:
     """The newest lines; a top-k that each task takes first."""
     return log.orderBy(F.desc(by)).limit(most)
+
+
+def accepted(requests: DataFrame, active: DataFrame, target: str = "attachment_id", by: tuple = ("job_id",)) -> DataFrame:
+    """Requests for targets without an active job, the first for each target."""
+    free = requests.join(active.where(F.col("status").isin("queued", "running")).select(target).distinct(), target, "left_anti")
+    return free.withColumn("_k", F.row_number().over(Window.partitionBy(target).orderBy(*by))).where("_k = 1").drop("_k")

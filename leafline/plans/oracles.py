@@ -236,4 +236,16 @@ def oracle_sql() -> dict[str, str]:
     o["text_index"] = "SELECT term, count(DISTINCT doc_id) AS n_docs, count(*) AS n_words FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z]+')) AS term FROM documents) GROUP BY term"
     o["progress"] = f"SELECT doc, page, round(row_number() OVER (PARTITION BY doc ORDER BY page) * CAST(100 AS DOUBLE) / count(*) OVER (PARTITION BY doc), 6) AS percent FROM ({sel})"
     o["frame_points"] = f"{W}{FRAMES}, p AS (SELECT page, frame_id, least(2600, x1 * 2) AS p_x1, greatest(0, least(3000, 3000 - y2 * 2)) AS p_y1, least(2600, x2 * 2) AS p_x2, greatest(0, least(3000, 3000 - y1 * 2)) AS p_y2 FROM frames) SELECT * FROM p WHERE p_x2 > p_x1 AND p_y2 > p_y1"
+    clip = lambda x: f"greatest(0.0, least(1.0, ({x} - x1) / CAST(x2 - x1 AS DOUBLE)))"
+    o["clip_text"] = f"""{W}{BOXES}, {READ}, c AS (SELECT page, box_id, coalesce(text, '') AS text, {clip("greatest(x1, 300)")} AS a, {clip("least(x2, 900)")} AS b FROM rd)
+      SELECT page, box_id, CASE WHEN b > a THEN trim(substr(text, CAST(floor(a * length(text) + 0.5) AS BIGINT) + 1, CAST(floor(b * length(text) + 0.5) - floor(a * length(text) + 0.5) AS BIGINT))) ELSE '' END AS piece FROM c"""
+    o["title_fallback"] = f"{W}{ITEMS} SELECT id, replace(replace(CASE WHEN id % 5 <> 0 THEN title || ' <&>' ELSE string_split(path, '/')[-1] END, '&', '&amp;'), '<', '&lt;') AS title FROM items"
+    o["message_lookup"] = """SELECT event_id, CASE WHEN user_id % 2 = 0 THEN 'zh' ELSE 'en' END AS lang, CASE event_type WHEN 'view' THEN CASE WHEN user_id % 2 = 0 THEN user_id || ': ' || event_id ELSE event_id || ' views of ' || user_id END
+      WHEN 'click' THEN 'clicked ' || event_id WHEN 'error' THEN 'failed' ELSE event_type END AS text FROM events"""
+    o["active_jobs"] = f"""{o["job_states"].rsplit("SELECT job_id, s AS status", 1)[0].rstrip()}, js AS (SELECT job_id, s AS status FROM m QUALIFY row_number() OVER (PARTITION BY job_id ORDER BY rn DESC) = 1)
+      SELECT min(event_id) AS job_id, event_id % 400 AS attachment_id FROM events WHERE event_id % 400 NOT IN (SELECT job_id * 3 FROM js WHERE status IN ('queued', 'running')) GROUP BY event_id % 400"""
+    back = lambda x, scale, most: f"CAST(floor(least({most} - 1, greatest(0, ({x}) / CAST({scale} AS DOUBLE))) + 0.5) AS BIGINT)"
+    o["upright_boxes"] = f"""{o["component_stats"].rsplit("SELECT page, comp, min(x)", 1)[0].rstrip()}, cs AS (SELECT page, comp, min(x)""" + o["component_stats"].rsplit("SELECT page, comp, min(x)", 1)[1] + f"""),
+      g AS (SELECT *, (x2 - x1 + 1) * (y2 - y1 + 1) * CAST(1.6 AS DOUBLE) / (2 * (x2 - x1 + 1 + y2 - y1 + 1)) AS d FROM cs WHERE score >= 0.2)
+      SELECT page, comp, {back("x1 - d", 0.5, 90)} AS u_x1, {back("y1 - d", 0.25, 180)} AS u_y1, {back("x2 + d", 0.5, 90)} AS u_x2, {back("y2 + d", 0.25, 180)} AS u_y2, score AS u_score FROM g"""
     return o

@@ -379,5 +379,39 @@ def frame_points(s, sf):
     return f.select("page", "frame_id", *[c.alias(f"p_{k}") for k, c in p.items()]).where("p_x2 > p_x1 and p_y2 > p_y1")
 
 
+@query
+def clip_text(s, sf):
+    return _read(s, sf).select(*B, T.clipped(F.coalesce("text", F.lit("")), F.col("x1"), F.col("x2"), F.lit(300), F.lit(900)).alias("piece"))
+
+
+@query
+def title_fallback(s, sf):
+    i = R.items(s, sf)
+    return i.select("id", T.escaped(T.title_or_file(F.when(F.col("id") % 5 != 0, F.concat("title", F.lit(" <&>"))), F.col("path"))).alias("title"))
+
+
+@query
+def message_lookup(s, sf):
+    table = s.createDataFrame([("en", "view", "{0} views of {1}"), ("en", "click", "clicked {0}"), ("zh", "view", "{1}: {0}"), ("en", "error", "failed")], "lang string, key string, text string")
+    e = load(s, sf, "events").select("event_id", "user_id", F.col("event_type").alias("key"), T.language(F.when(F.col("user_id") % 2 == 0, "ZH-cn").otherwise("de")).alias("lang"))
+    return catalog.messages(e, table, ["event_id", "user_id"]).select("event_id", "lang", "text")
+
+
+@query
+def active_jobs(s, sf):
+    """Requests that a running or queued job of the same attachment does not bar."""
+    e = load(s, sf, "events")
+    asked = e.select(F.col("event_id").alias("job_id"), (F.col("event_id") % 400).alias("attachment_id"))
+    busy = jobs.states(R.log(s, sf)).select((F.col("job_id") * 3).alias("attachment_id"), "status")
+    return jobs.accepted(asked, busy)
+
+
+@query
+def upright_boxes(s, sf):
+    b = component_stats(s, sf)
+    u = G.upright_box(G.box(), F.col("score"), F.lit(0.5), F.lit(0.25), F.lit(90), F.lit(180))
+    return b.where("score >= 0.2").select("page", "comp", *[c.alias(f"u_{k}") for k, c in u.items()])
+
+
 def queries() -> dict:
     return dict(ALL)
