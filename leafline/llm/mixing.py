@@ -67,7 +67,6 @@ def plan(docs: DataFrame, key: str = "doc_id", source: str = "source", text: str
     """key, h (hash of the whole row), size, source_size, target, copies (how often it is taken), first_finish for every row."""
     rows = sizes(docs, [F.col(key).alias("key"), F.col(source).cast("string").alias("source"), F.xxhash64(*docs.columns).alias("h")], text)
     rows = cut(rows.withColumn("u", F.xxhash64(F.lit(seed), "key", "h")), "mix-sizes")
-    spark = docs.sparkSession
     totals = cut(targets(rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n_rows")), weights, share, most), "mix-targets")
     budget = totals.agg(F.sum("source_size")).first()[0] or 0
     # F.broadcast is for tables of one row per source up to this many; beyond that Spark chooses
@@ -89,7 +88,6 @@ def plan(docs: DataFrame, key: str = "doc_id", source: str = "source", text: str
     else:
         at, rank = last
         copies = F.size(F.filter(F.coalesce("finish", F.array().cast("array<double>")), lambda f: (f < F.lit(at)) | ((f == F.lit(at)) & (F.col("rank") <= rank))))
-    del spark
     return r.select("key", "h", "source", "size", "source_size", "target", copies.alias("copies"), F.element_at("finish", 1).alias("first_finish"), "finish")
 
 
