@@ -16,10 +16,10 @@ from pyspark.sql import functions as F
 
 from leafline.llm._text import batches
 from leafline.llm.bpe import encoder
-from leafline.session import ship
+from leafline.session import cut, ship
 
 #: Lengths in a block of the two-level suffix sums.
-BLOCK = 4096
+BLOCK = 128
 
 
 def lengths(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
@@ -44,7 +44,8 @@ def histogram(lengths: DataFrame, length: str = "n_tokens") -> DataFrame:
 
 def suffix_sums(hist: DataFrame) -> DataFrame:
     """Adds for each length L: docs_from (documents of L tokens or more), tokens_from (their tokens), n_tokens (tokens of documents of exactly L), truncated_total (tokens of all documents cut at L)."""
-    h = hist.select("length", "n_docs", (F.col("length") * F.col("n_docs")).alias("n_tokens"), F.floor(F.col("length") / BLOCK).alias("_block"))
+    # read by both levels: written once, so that texts are encoded once
+    h = cut(hist, "length-histogram").select("length", "n_docs", (F.col("length") * F.col("n_docs")).alias("n_tokens"), F.floor(F.col("length") / BLOCK).alias("_block"))
     blocks = h.groupBy("_block").agg(F.sum("n_docs").alias("_d"), F.sum("n_tokens").alias("_t"))
     wide = Window.orderBy("_block").rowsBetween(1, Window.unboundedFollowing)
     later = blocks.select(
