@@ -20,6 +20,7 @@ import hashlib
 import os
 import re
 import struct
+import unicodedata
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -37,6 +38,8 @@ from leafline.session import cut, ship, work_dir
 MAGIC = b"LFSST001"
 FOOTER = struct.Struct("<QQQQQQ8s")
 RESTART = 16
+#: Marks that may follow a word: neither letters nor digits, and no part of a contraction or a special token.
+MARKS = '!"#$%&()*+,-./:;=?@[]^_`{}~'
 BLOCK_BYTES, SHARD_BYTES, BLOOM_BITS, BLOOM_HASHES = 64 << 10, 64 << 20, 10, 7
 
 
@@ -122,8 +125,8 @@ def entries(buf: bytes, at: int = 0) -> Iterator[tuple[bytes, bytes]]:
 class ShardWriter:
     """Writes entries in key order to an open binary file; values are little-endian token ids of width bytes."""
 
-    def __init__(self, sink, width: int):
-        self.sink, self.width, self.at, self.block = sink, width, 0, Block()
+    def __init__(self, sink, width: int, block_bytes: int = BLOCK_BYTES):
+        self.sink, self.width, self.block_bytes, self.at, self.block = sink, width, block_bytes, 0, Block()
         self.index, self.keys, self.docs, self.tokens, self.began = [], [], 0, 0, (0, 0)
 
     def add(self, key: bytes, value: bytes) -> None:
@@ -131,7 +134,7 @@ class ShardWriter:
         self.keys.append(key)
         self.docs += 1
         self.tokens += len(value) // self.width
-        if len(self.block.buf) >= BLOCK_BYTES:
+        if len(self.block.buf) >= self.block_bytes:
             self.flush()
 
     def flush(self) -> None:
@@ -204,17 +207,17 @@ def file_system(uri: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(re.sub(r"^file:/+", "file:///", uri))
 
 
-class ChunkEncoder(dict):
+class ChunkEncoder:
     """Runs the tokenizers library on the distinct space-separated chunks of texts; a bounded cache from chunk to ids.
 
     Only for vocabularies whose normaliser keeps ASCII white space apart and whose pre-tokeniser drops it, so that chunks
-    are encoded alike alone and in their text; exact() checks a batch against whole texts.
+    are encoded alike alone and in their text, and lower-cases words and parts them from marks.
     """
 
-    LIMIT = 600_000
+    LIMIT = 1_200_000
 
     def __init__(self, path: str):
-        super().__init__()
+        self.kept: dict[bytes, bytes] = {}
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -224,24 +227,45 @@ class ChunkEncoder(dict):
         self.width = 2 if self.tok.get_vocab_size() < 1 << 16 else 4
 
     def fill(self, chunks: set[bytes]) -> None:
-        if len(self) > self.LIMIT:
-            self.clear()
-        new = [c for c in chunks if c not in self]
+        kept = self.kept
+        if len(kept) > self.LIMIT:
+            kept.clear()
+        split = {c: self.split(c) for c in chunks if c not in kept}
+        new = list({p for parts in split.values() for p in parts if p not in kept})
         for at in range(0, len(new), 20_000):
             part = new[at : at + 20_000]
             got = self.tok.encode([c.decode() for c in part], is_pretokenized=True, add_special_tokens=False)
             ids = np.array(got.ids, f"<u{self.width}").tobytes()
             ends = np.searchsorted(np.array([-1 if w is None else w for w in got.word_ids], np.int64), np.arange(len(part)), "right") * self.width
             for c, a, b in zip(part, [0, *ends[:-1].tolist()], ends.tolist(), strict=True):
-                self[c] = ids[a:b]
-
-    def __missing__(self, chunk: bytes) -> bytes:
-        return np.array(self.tok.encode(chunk.decode(), add_special_tokens=False).ids, f"<u{self.width}").tobytes()
+                kept[c] = ids[a:b]
+        for c, parts in split.items():
+            if len(parts) > 1 or parts[0] != c:
+                kept[c] = b"".join(map(kept.__getitem__, parts))
+
+    @staticmethod
+    def split(chunk: bytes) -> tuple[bytes, ...]:
+        """A word of letters and the marks after it, which the pre-tokeniser parts anyway; other chunks stay whole."""
+        text = chunk.decode()
+        core = text.rstrip(MARKS)
+        # letters that the normaliser parts into a letter and a mark would take the marks after the word along
+        if not (core.isalpha() and (core.isascii() or unicodedata.normalize("NFC", core).lower().isalpha())):
+            return (chunk,)
+        word = (core.lower() if core.isascii() else core).encode()
+        return (word, text[len(core) :].encode()) if len(core) < len(text) else (word,)
+
+    def alone(self, chunk: bytes) -> bytes:
+        """Ids of a chunk by the library itself; rare long chunks are not kept."""
+        found = self.kept.get(chunk)
+        return np.array(self.tok.encode(chunk.decode(), add_special_tokens=False).ids, f"<u{self.width}").tobytes() if found is None else found
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         lists = [(t or "").encode().split() for t in texts]
-        self.fill({c for x in lists for c in x if len(c) <= 24 and b"<|" not in c})
-        return [b"".join(map(self.__getitem__, x)) for x in lists]
+        found = set().union(*lists)
+        rare = {c for c in found if len(c) > 24 or b"<|" in c}
+        self.fill(found - rare)
+        get = self.kept.__getitem__
+        return [b"".join(map(self.alone if rare and not rare.isdisjoint(x) else get, x)) for x in lists]
 
 
 _KEPT: dict[str, ChunkEncoder] = {}
@@ -253,7 +277,7 @@ def chunk_encoder(path: str) -> ChunkEncoder:
     return _KEPT[path]
 
 
-def write(docs: DataFrame, path: str, out: str, end_id: int, key: str = "doc_id", text: str = "text", shard_bytes: int = SHARD_BYTES) -> DataFrame:
+def write(docs: DataFrame, path: str, out: str, end_id: int, key: str = "doc_id", text: str = "text", shard_bytes: int = SHARD_BYTES, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """Encodes every text with a tokenizers vocabulary file and writes shards below out in ascending key order.
 
     Returns the manifest: one row for each shard with path, place (partition and number within it), n_docs, n_tokens.
@@ -279,7 +303,7 @@ def write(docs: DataFrame, path: str, out: str, end_id: int, key: str = "doc_id"
                     if w is None:
                         fs.create_dir(base, recursive=True)
                         name = f"{place:06d}-{part:05d}-{uuid.uuid4().hex[:8]}.sst"
-                        w = ShardWriter(fs.open_output_stream(f"{base}/{name}"), enc.width)
+                        w = ShardWriter(fs.open_output_stream(f"{base}/{name}"), enc.width, block_bytes)
                     w.add(key_of(doc_id), ids + end)
                     if w.at >= shard_bytes:
                         close()
