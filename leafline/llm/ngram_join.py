@@ -18,8 +18,10 @@ as frequent: the counts, taken over all documents in a first pass, only steer co
 (a few shingles in one segment), the interval gets twice as many segments, until all sets can.
 
 Verification. Equal sets form one class (128-bit sum hash). In each bucket of keys, classes that share a key are paired with
-the least of them; the pairs are verified exactly on whole sets, components are formed, and only the pairs that still lie
-in different components are verified in a second step. A group of copies costs a star, not all its pairs.
+the one that shares most keys there (the center); profiles (shingle counts by part of the hash range, a lower bound of the
+difference) refute most pairs, the others are verified exactly on whole sets, components are formed, and only the pairs that still lie
+in different components are compared in a second step, in blocks: bounds by sizes, profiles and distances to the common center
+refute pairs there before they leave the task. A group of copies costs a star, not all its pairs.
 
 Defined results: null, empty or blank text has an empty set, is linked with nothing and is its own component; repeated rows
 get one result each; null identifiers are never a component's name unless all are null; an empty table gives no rows.
@@ -41,9 +43,11 @@ SHINGLE = 5
 #: Bytes of text that a task works on at a time; bytes of text for each bucket of keys, on average.
 SLAB, BUCKET_BYTES = 12 << 20, 32 << 20
 #: A key of more classes than this is frequent; so many of the most frequent keys at most are sent to the tasks (they steer cost, not results).
-FREQUENT, MOST_FREQUENT = 64, 50_000
+FREQUENT, MOST_FREQUENT = 16, 200_000
 #: Share of the hash range (as 1/EIGHTH) for one-deletion segments, exact segments per shingle of the largest set, shingles per one-deletion segment.
-EIGHTH, EXACT, WIDE = 8, 0.34, 32
+EIGHTH, EXACT, WIDE = 8, 1.0, 32
+#: Members of a cluster in a block, on average.
+BLOCK = 256
 REGION = U((1 << 32) - (1 << 32) // EIGHTH)
 
 
@@ -169,6 +173,33 @@ class Keys:
         return np.concatenate([self.key[units], less]), np.concatenate([self.doc[units], self.doc[of]])
 
 
+def profiles(h: np.ndarray, begin: np.ndarray) -> list[bytes]:
+    """How many shingles of each set fall into each of 64 or more equal parts of the hash range, two to four to a part; empty if a count is above 255.
+
+    The counts of two sets differ, summed up, by no more than the sets do, so they refute most pairs without the sets.
+    """
+    size = np.diff(begin)
+    bits = np.maximum(6, np.ceil(np.log2(np.maximum(size, 1) / 4)).astype(np.int64))
+    base = np.concatenate([[0], np.cumsum(1 << bits)])
+    doc = np.repeat(np.arange(len(size)), size)
+    count = np.bincount((h >> (64 - bits[doc]).astype(np.uint64)).astype(np.int64) + base[doc], minlength=int(base[-1]))
+    raw = np.minimum(count, 255).astype(np.uint8).tobytes()
+    full = np.maximum.reduceat(count, base[:-1]) > 255 if len(size) else []
+    return [b"" if f else raw[a:b] for a, b, f in zip(base[:-1].tolist(), base[1:].tolist(), full, strict=True)]
+
+
+def gap(pa_: bytes, pb: bytes) -> int:
+    """How far two profiles differ: a lower bound of the sets' distance."""
+    if not pa_ or not pb:
+        return 0
+    x, y = np.frombuffer(pa_, np.uint8).astype(np.int64), np.frombuffer(pb, np.uint8).astype(np.int64)
+    if len(x) > len(y):
+        x, y = y, x
+    if len(x) < len(y):
+        y = y.reshape(len(x), -1).sum(1)
+    return int(np.abs(x - y).sum())
+
+
 def distinct_texts(cls: np.ndarray, size: np.ndarray) -> np.ndarray:
     """One text of each class with a set."""
     pick = np.unique(np.ascontiguousarray(cls).view("V16").reshape(-1), return_index=True)[1] if len(cls) else np.zeros(0, np.int64)
@@ -216,11 +247,12 @@ def _first_pass(docs: DataFrame, key: str, text: str) -> DataFrame:
                         pa.array([*size.tolist(), *n.tolist(), *need.values()], pa.int64()),
                         pa.concat_arrays([pa.nulls(rows, pa.int64()), pa.array(value), pa.nulls(g, pa.int64())]),
                         pa.array([*[None] * (rows + f), *need], pa.int32()),
+                        pa.concat_arrays([pa.array(profiles(h, begin), pa.binary()), pa.nulls(f + g, pa.binary())]),
                     ],
-                    ["key", "cls", "n", "frequent", "interval"],
+                    ["key", "cls", "n", "frequent", "interval", "profile"],
                 )
 
-    return cut(slim.mapInArrow(run, f"key {kind}, cls binary, n long, frequent long, interval int"), "shingle-classes")
+    return cut(slim.mapInArrow(run, f"key {kind}, cls binary, n long, frequent long, interval int, profile binary"), "shingle-classes")
 
 
 def _planes(x: np.ndarray) -> bytes:
@@ -283,12 +315,10 @@ def _second_pass(docs: DataFrame, text: str, frequent: np.ndarray, extra: np.nda
     return docs.select(F.col(text).alias("text")).mapInArrow(run, "bucket int, blob binary, size long")
 
 
-def _groups(held: list):
-    """Of one bucket: stars (least class, other class) of compatible sizes, and the distinct sets of three classes or more that share a key."""
+def _stars(held: list) -> tuple[np.ndarray, np.ndarray]:
+    """Of one bucket: for every key of several classes, the class that shares most keys there (the center) with each other class; distinct."""
     got = [_unpack(*x) for x in held]
     table, back = np.unique(np.concatenate([g[2] for g in got]).view(">u8").reshape(-1, 2).copy().view([("a", ">u8"), ("b", ">u8")]).reshape(-1), return_inverse=True)
-    size = np.zeros(len(table), np.int64)
-    size[back] = np.concatenate([g[3] for g in got])
     shift = np.cumsum([0] + [len(g[2]) for g in got])
     keys = np.concatenate([g[0] for g in got])
     gid = np.concatenate([back[s + g[1]] for s, g in zip(shift, got, strict=False)])
@@ -304,21 +334,15 @@ def _groups(held: list):
     keep = np.ones(len(keys), bool)
     keep[1:] = (keys[1:] != keys[:-1]) | (gid[1:] != gid[:-1])
     keys, gid = keys[keep], gid[keep]
+    hits = np.bincount(gid, minlength=len(table))
+    order = np.lexsort((gid, -hits[gid], keys))
+    keys, gid = keys[order], gid[order]
     lead = np.ones(len(keys), bool)
     lead[1:] = keys[1:] != keys[:-1]
-    begin = np.flatnonzero(lead)
-    count = np.diff(np.concatenate([begin, [len(keys)]]))
-    of = np.repeat(np.arange(len(begin)), count)
+    center = gid[lead][np.cumsum(lead) - 1]
+    pair = np.unique(center[~lead] * np.int64(len(table)) + gid[~lead])
     raw = table.view("V16")
-    center, other = gid[begin][of], gid
-    fits = (center != other) & (4 * np.minimum(size[center], size[other]) >= 3 * np.maximum(size[center], size[other]))
-    pair = np.unique(center[fits] * np.int64(len(table)) + other[fits])
-    # equal groups count once
-    set_name = mix(spread_sums(mix(gid.astype(np.uint64) + U(77)), np.concatenate([begin, [len(gid)]])) + count.astype(np.uint64)) if len(begin) else np.zeros(0, np.uint64)
-    many = np.flatnonzero(count > 2)
-    pick = many[np.unique(set_name[many], return_index=True)[1]]
-    inside = np.isin(of, pick)
-    return raw[pair // len(table)], raw[pair % len(table)], set_name[of[inside]], raw[gid[inside]], size[gid[inside]]
+    return raw[pair // len(table)], raw[pair % len(table)]
 
 
 def _bytes16(x: np.ndarray) -> pa.Array:
@@ -326,31 +350,21 @@ def _bytes16(x: np.ndarray) -> pa.Array:
 
 
 def _met(sent: DataFrame) -> DataFrame:
-    """Pairs (a, b) and members of groups (grp, a, n), from the buckets."""
+    """Distinct pairs (a, b) of centers and other classes, from the buckets."""
 
     def run(it):
         held, now = [], None
-
-        def done():
-            a, b, grp, member, size = _groups(held)
-            p, m = len(a), len(grp)
-            salt = U(now * 0x9E3779B97F4A7C15 & (1 << 64) - 1)
-            yield pa.record_batch(
-                [pa.concat_arrays([_bytes16(a), _bytes16(member)]), pa.concat_arrays([_bytes16(b), pa.nulls(m, pa.binary())]), pa.concat_arrays([pa.nulls(p, pa.int64()), pa.array((grp ^ salt).view(np.int64))]), pa.concat_arrays([pa.nulls(p, pa.int64()), pa.array(size)])],
-                ["a", "b", "grp", "n"],
-            )
-
         for batch in it:
             for b, blob, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
                 if b != now and held:
-                    yield from done()
+                    yield pa.RecordBatch.from_arrays([_bytes16(x) for x in _stars(held)], ["a", "b"])
                     held = []
                 now = b
                 held.append((blob, n))
         if held:
-            yield from done()
+            yield pa.RecordBatch.from_arrays([_bytes16(x) for x in _stars(held)], ["a", "b"])
 
-    return cut(sent.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, "a binary, b binary, grp long, n long"), "shingle-meetings")
+    return sent.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, "a binary, b binary").distinct()
 
 
 def _set_table(docs: DataFrame, key: str, text: str, wanted: DataFrame) -> DataFrame:
@@ -369,23 +383,99 @@ def _set_table(docs: DataFrame, key: str, text: str, wanted: DataFrame) -> DataF
     return cut(made.join(wanted.select("cls").distinct(), "cls", "left_semi").groupBy("cls").agg(F.first("shingles").alias("shingles")), "shingle-sets")
 
 
-def _verified(pairs: DataFrame, table: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose sets reach the similarity, counted on whole sets."""
+def _distances(pairs: DataFrame, table: DataFrame) -> DataFrame:
+    """Adds d, the number of shingles in one set only, counted on whole sets."""
     ta, tb = table.select(F.col("cls").alias("a"), F.col("shingles").alias("sa")), table.select(F.col("cls").alias("b"), F.col("shingles").alias("sb"))
-    both = pairs.join(tb, "b").join(ta, "a").select("a", "b", "sa", "sb")
+    both = pairs.select("a", "b").join(tb, "b").join(ta, "a").select("a", "b", "sa", "sb")
 
     def run(it):
         for batch in it:
-            ok = []
+            out = []
             for ra, rb in zip(batch.column(2), batch.column(3), strict=True):
-                x, y = np.frombuffer(ra.as_buffer(), np.uint64), np.frombuffer(rb.as_buffer(), np.uint64)
-                z = np.concatenate([x, y])
+                z = np.concatenate([np.frombuffer(ra.as_buffer(), np.uint64), np.frombuffer(rb.as_buffer(), np.uint64)])
                 z.sort(kind="stable")
-                common = int((z[1:] == z[:-1]).sum())
-                ok.append(100 * common >= 75 * (len(x) + len(y) - common))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(ok, pa.bool_()))
+                out.append(len(z) - 2 * int((z[1:] == z[:-1]).sum()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.int64())], ["a", "b", "d"])
+
+    return cut(both.mapInArrow(run, "a binary, b binary, d long"), "shingle-distances")
+
 
-    return cut(both.mapInArrow(run, "a binary, b binary"), "shingle-links")
+def _bounded(pairs: DataFrame, faces: DataFrame) -> DataFrame:
+    """Adds na, nb and low, a lower bound of the distance by sizes and profiles. faces: cls, n, profile."""
+    fa, fb = faces.toDF("a", "na", "pa"), faces.toDF("b", "nb", "pb")
+    both = pairs.select("a", "b").join(fb, "b").join(fa, "a").select("a", "b", "na", "nb", "pa", "pb")
+
+    def run(it):
+        for batch in it:
+            na, nb = batch.column(2).to_pylist(), batch.column(3).to_pylist()
+            low = [max(abs(x - y), gap(p, q)) for p, q, x, y in zip(batch.column(4).to_pylist(), batch.column(5).to_pylist(), na, nb, strict=True)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(low, pa.int64())], ["a", "b", "na", "nb", "low"])
+
+    return cut(both.mapInArrow(run, "a binary, b binary, na long, nb long, low long"), "shingle-bounds")
+
+
+def _compared(docs: DataFrame, key: str, text: str, pairs: DataFrame, faces: DataFrame, reps: DataFrame) -> DataFrame:
+    """a, b, nb, low, d of pairs: bounds first, then the distance on whole sets, read only for classes that are left (d is null where the bound refutes the pair)."""
+    bounds = _bounded(pairs, faces)
+    near = bounds.where("7 * low <= na + nb")
+    if near.isEmpty():
+        return bounds.withColumn("d", F.lit(None).cast("long"))
+    wanted = near.select(F.col("a").alias("cls")).unionByName(near.select(F.col("b").alias("cls"))).distinct()
+    found = _distances(near, _set_table(docs, key, text, reps.join(wanted, "cls", "left_semi")))
+    return bounds.join(found, ["a", "b"], "left")
+
+
+def _cross(stars: DataFrame, labels: DataFrame, faces: DataFrame) -> DataFrame:
+    """Pairs (a, b) in one cluster (classes with one center) but different components that no bound refutes.
+
+    A cluster is dealt in blocks: those of its most frequent component against the others, and the others among themselves.
+    Inside a pair of blocks sizes, profiles and the distances to the center (the symmetric difference is a metric) refute
+    pairs; only the rest leaves the task.
+    """
+    member = stars.select("a", "b", F.col("nb").alias("n"), F.coalesce("d", "low").alias("lo"), F.coalesce("d", F.col("na") + F.col("nb")).alias("hi"))
+    placed = member.join(labels.select(F.col("node").alias("b"), "label"), "b", "left").withColumn("label", F.coalesce("label", "b"))
+    each = placed.groupBy("a", "label").agg(F.count("*").alias("k"))
+    whole = each.groupBy("a").agg(F.sum("k").alias("t"), F.max(F.struct("k", "label")).alias("m")).select("a", F.col("m.label").alias("major"), F.ceil(F.col("m.k") / BLOCK).alias("n_major"), (F.col("t") - F.col("m.k")).alias("rest"))
+    mixed = whole.where("rest > 0").withColumn("n_rest", F.ceil(F.col("rest") / BLOCK)).drop("rest")
+    rows = placed.join(mixed, "a").join(faces.select(F.col("cls").alias("b"), "profile"), "b").withColumn("is_major", F.col("label") == F.col("major"))
+    own = F.pmod(F.xxhash64("b"), F.when(F.col("is_major"), F.col("n_major")).otherwise(F.col("n_rest")))
+    rows = rows.withColumn("own", own)
+    place = lambda kind, i, j, side: F.struct(F.lit(kind).alias("kind"), i.cast("long").alias("i"), j.cast("long").alias("j"), F.lit(side).alias("side"))
+    others = F.sequence(F.lit(0).cast("long"), F.col("n_rest") - 1)
+    majors = F.sequence(F.lit(0).cast("long"), F.col("n_major") - 1)
+    among = F.transform(others, lambda j: F.when(j >= F.col("own"), place(1, F.col("own"), j, 0)).otherwise(place(1, j, F.col("own"), 1)))
+    places = F.when(F.col("is_major"), F.transform(others, lambda j: place(0, F.col("own"), j, 0))).otherwise(F.concat(F.transform(majors, lambda i: place(0, i, F.col("own"), 1)), among))
+    dealt = rows.select("a", "b", "n", "lo", "hi", "label", "profile", F.explode(places).alias("p")).select("a", "p.kind", "p.i", "p.j", "p.side", "b", "n", "lo", "hi", "label", "profile")
+
+    def run(part: pa.Table) -> pa.Table:
+        side = part.column("side").to_numpy()
+        n, lo, hi = (part.column(c).to_numpy() for c in ("n", "lo", "hi"))
+        raw = part.column("profile").to_pylist()
+        width = min((len(x) for x in raw if x), default=64)
+        prof = np.zeros((len(raw), width), np.int32)
+        known = np.array([bool(x) for x in raw])
+        for r in np.flatnonzero(known):
+            prof[r] = np.frombuffer(raw[r], np.uint8).reshape(width, -1).sum(1)
+        names_, label = np.array(part.column("b").to_pylist(), object), part.column("label").to_pylist()
+        label = np.unique(np.array(label, "S16"), return_inverse=True)[1]
+        same_block = len(side) > 0 and part.column("kind")[0].as_py() == 1 and part.column("i")[0].as_py() == part.column("j")[0].as_py()
+        left = np.arange(len(side)) if same_block else np.flatnonzero(side == 0)
+        right = left if same_block else np.flatnonzero(side == 1)
+        out = [[], []]
+        for x in left.tolist():
+            y = right[right > x] if same_block else right
+            most = (n[x] + n[y]) // 7
+            ok = (label[y] != label[x]) & (abs(n[x] - n[y]) <= most) & (lo[x] - hi[y] <= most) & (lo[y] - hi[x] <= most)
+            y, most = y[ok], most[ok]
+            if len(y):
+                y = y[~(known[x] & known[y]) | (np.abs(prof[y] - prof[x]).sum(1) <= most)]
+            for z in y.tolist():
+                low, high = sorted((names_[x], names_[z]))
+                out[0].append(low)
+                out[1].append(high)
+        return pa.table({"a": pa.array(out[0], pa.binary()), "b": pa.array(out[1], pa.binary())})
+
+    return dealt.groupBy("a", "kind", "i", "j").applyInArrow(run, "a binary, b binary").distinct()
 
 
 def joined(docs: DataFrame, key: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
@@ -400,24 +490,21 @@ def joined(docs: DataFrame, key: str = "doc_id", text: str = "text") -> tuple[Da
     frequent = np.array([r[0] for r in often.select("frequent").collect()], np.int64).view(np.uint64)
     frequent.sort()
     total = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
-    met = _met(_second_pass(docs, text, frequent, extra, max(12, -(-total // BUCKET_BYTES))))
-    stars = met.where("grp is null").select("a", "b").distinct()
-    groups = met.where("grp is not null").select("grp", F.col("a").alias("cls"), "n")
+    met = cut(_met(_second_pass(docs, text, frequent, extra, max(12, -(-total // BUCKET_BYTES)))), "shingle-stars")
     reps = rows.where("n > 0").groupBy("cls").agg(F.min("key").alias("key"))
-    meeting = met.select(F.col("a").alias("cls")).unionByName(met.where("b is not null").select(F.col("b").alias("cls"))).distinct()
-    table = _set_table(docs, key, text, reps.join(meeting, "cls", "left_semi"))
-    links = _verified(stars, table)
+    faces = first.where("n > 0 and profile is not null").dropDuplicates(["cls"]).select("cls", "n", "profile")
+    stars = cut(_compared(docs, key, text, met, faces, reps), "shingle-stars-compared")
+    links = stars.where("7 * d <= na + nb").select("a", "b")
     found = components(links, "star")
-    # classes that share a key, lie in different components and were not compared yet
-    placed = groups.join(found.withColumnRenamed("node", "cls"), "cls", "left").select("grp", "cls", "n", F.coalesce("label", "cls").alias("label"))
-    mixed = placed.groupBy("grp").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("grp")
-    open_ = cut(placed.join(mixed, "grp", "left_semi"), "shingle-open")
-    if not open_.isEmpty():
-        x, y = (open_.select("grp", *[F.col(c).alias(f"{c}_{s}") for c in ("cls", "n", "label")]) for s in "ab")
-        rest = x.join(y, "grp").where("cls_a < cls_b and label_a <> label_b and 4 * least(n_a, n_b) >= 3 * greatest(n_a, n_b)").select(F.col("cls_a").alias("a"), F.col("cls_b").alias("b")).distinct()
-        more = _verified(rest.join(stars, ["a", "b"], "left_anti"), table)
-        links = links.unionByName(more)
-        found = components(links, "all")
+    # classes with one center, in different components, not compared yet
+    seen = met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    rest = cut(_cross(stars, found, faces).join(seen, ["a", "b"], "left_anti"), "shingle-cross")
+    if not rest.isEmpty():
+        more = _compared(docs, key, text, rest, faces, reps).where("7 * d <= na + nb").select("a", "b")
+        more = cut(more, "shingle-more-links")
+        if not more.isEmpty():
+            links = links.unionByName(more)
+            found = components(links, "all")
     named = rows.join(found.withColumnRenamed("node", "cls"), "cls", "left").withColumn("label", F.coalesce("label", "cls"))
     least = named.where("n > 0").groupBy("label").agg(F.min("key").alias("component"))
     out = named.join(least, "label", "left").select("key", "cls", "n", F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("key")).alias("component"))
