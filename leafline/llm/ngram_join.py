@@ -174,12 +174,12 @@ class Keys:
 
 
 def profiles(h: np.ndarray, begin: np.ndarray) -> list[bytes]:
-    """How many shingles of each set fall into each of 64 or more equal parts of the hash range, two to four to a part; empty if a count is above 255.
+    """How many shingles of each set fall into each of 64 or more equal parts of the hash range, up to one to a part on average; empty if a count is above 255.
 
     The counts of two sets differ, summed up, by no more than the sets do, so they refute most pairs without the sets.
     """
     size = np.diff(begin)
-    bits = np.maximum(6, np.ceil(np.log2(np.maximum(size, 1) / 4)).astype(np.int64))
+    bits = np.maximum(6, np.ceil(np.log2(np.maximum(size, 1))).astype(np.int64))
     base = np.concatenate([[0], np.cumsum(1 << bits)])
     doc = np.repeat(np.arange(len(size)), size)
     count = np.bincount((h >> (64 - bits[doc]).astype(np.uint64)).astype(np.int64) + base[doc], minlength=int(base[-1]))
