@@ -205,7 +205,7 @@ def oracle_sql() -> dict[str, str]:
       SELECT page, box_id, round(least(deg, 180 - deg), 6) AS tilt FROM t WHERE square OR round(least(deg, 180 - deg), 6) <= 30"""
     o["threshold_dilate"] = f"{W}{PIXELS}, {MASK} SELECT page, y, x FROM mask"
     o["components"] = f"{R}{PIXELS}, {MASK}, {PARTS} SELECT page, y, x, comp FROM parts"
-    o["component_stats"] = f"""{R}{PIXELS}, {MASK}, {PARTS} SELECT page, comp, min(x) AS x1, min(y) AS y1, max(x) AS x2, max(y) AS y2, count(*) AS n, round(sum(coalesce(p, 0)) / count(*), 6) AS score FROM parts LEFT JOIN px USING (page, y, x) GROUP BY page, comp
+    o["component_stats"] = f"""{R}{PIXELS}, {MASK}, {PARTS} SELECT page, comp, min(x) AS x1, min(y) AS y1, max(x) AS x2, max(y) AS y2, count(*) AS n, CAST(CAST(round(sum(coalesce(p, 0)) * 1000) AS BIGINT) AS DOUBLE) / CAST(count(*) * 1000 AS DOUBLE) AS score FROM parts LEFT JOIN px USING (page, y, x) GROUP BY page, comp
       HAVING max(x) - min(x) + 1 >= 3 AND max(y) - min(y) + 1 >= 3"""
     o["polygon_area"] = """WITH v AS (SELECT l_orderkey % 97 AS poly, l_partkey % 12 AS i, min(l_suppkey) AS x, max(l_linenumber) AS y FROM lineitem GROUP BY ALL),
       e AS (SELECT poly, x, y, coalesce(lead(x) OVER w, first_value(x) OVER w) AS u, coalesce(lead(y) OVER w, first_value(y) OVER w) AS v FROM v WINDOW w AS (PARTITION BY poly ORDER BY i))

@@ -258,7 +258,7 @@ def components(s, sf):
 
 @query
 def component_stats(s, sf):
-    return raster.statistics(components(s, sf), R.pixels(s, sf)).withColumn("score", F.round("score", 6))
+    return raster.statistics(components(s, sf), R.pixels(s, sf)).withColumn("score", F.round(F.col("score") * F.col("n") * 1000).cast("long").cast("double") / (F.col("n") * 1000))
 
 
 @query
