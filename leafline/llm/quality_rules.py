@@ -1,11 +1,13 @@
 """Quality rules with risk-controlled thresholds.
 
 Rules are shares of a text (symbols, repeated lines, repeated words, capitals, exclamation marks, cell bars): larger is
-worse. For each stratum and rule, cutoffs are tried from the loosest on against labelled documents; a cutoff is certified
-while the exact binomial (Clopper-Pearson) upper bound of its false-rejection rate, at a level corrected for all strata
-and rules (Bonferroni; the cutoffs of one rule form a fixed sequence, which needs no further correction), stays within
-the risk that the rule may take. Of the certified cutoffs the one that rejects most bad documents holds, the loosest on
-ties; a stratum with too few labels rejects nothing by that rule.
+worse. In each stratum one cutoff holds for all rules, and a document goes when any of its shares is above it. Cutoffs are
+tried from the loosest on against labelled documents; one is certified while the exact binomial (Clopper-Pearson) upper
+bound of the rate at which it rejects good documents that the base rules pass, by any rule, stays within RISK. The level is
+corrected for the strata (Bonferroni); the cutoffs form a fixed sequence and the rules are certified together, so neither
+needs a further correction. Of the certified cutoffs the one that rejects
+most bad documents holds, the loosest on ties; a stratum with too few good labels (needed_labels) has no cutoff and only
+the base rules reject there.
 
 Defined results: null text has no words and fails the base rules; null strata form a stratum; labels that are null do not
 count, of several labels for one document the lowest holds; an empty table gives no rows.
@@ -26,7 +28,7 @@ from leafline.session import cut, ship
 U = np.uint64
 #: Shares are held in so many steps.
 STEPS = 512
-#: False rejections among good documents of a stratum that all rules together may cause, and the error probability.
+#: False rejections among good documents of a stratum that all rules together may add to the base rules, and the error probability.
 RISK, DELTA = 0.02, 0.05
 #: Strata up to which the table of cutoffs is broadcast.
 BROADCAST_STRATA = 10_000
@@ -133,29 +135,30 @@ def choose(good: np.ndarray, bad: np.ndarray, risk: float, delta: float) -> int
     return best
 
 
+def base_failed() -> Column:
+    """Whether a document is too short or repeats too much."""
+    return (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > REPEAT_PERCENT * F.col("n_words"))
+
+
 def cutoffs(values: DataFrame, labels: DataFrame, key: str, stratum: str, risk: float = RISK, delta: float = DELTA) -> DataFrame:
-    """stratum and a cutoff column for each rule (null: the rule rejects nothing there), from labelled documents."""
-    names = list(rules())
+    """stratum and its cutoff for all rules (null: they reject nothing there), from labelled documents."""
     marks = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").alias("_id")).agg(F.min("quality").alias("quality"))
-    held = values.join(marks, F.col(key) == F.col("_id")).select(F.col(stratum).alias("stratum"), "quality", F.explode(F.array(*[F.struct(F.lit(n).alias("rule"), F.col(f"_{n}").alias("step")) for n in names])).alias("x"))
-    hist = cut(held.groupBy("stratum", "x.rule", "x.step").agg(F.count_if(F.col("quality") == 1).alias("good"), F.count_if(F.col("quality") != 1).alias("bad")), "rule-histogram")
+    # a document goes when its worst share is above the cutoff; one that fails the base rules goes without it
+    worst = F.when(base_failed(), F.lit(0)).otherwise(F.greatest(*[F.col(f"_{n}") for n in rules()]))
+    held = values.join(marks, F.col(key) == F.col("_id")).select(F.col(stratum).alias("stratum"), "quality", worst.alias("step"))
+    hist = cut(held.groupBy("stratum", "step").agg(F.count_if(F.col("quality") == 1).alias("good"), F.count_if(F.col("quality") != 1).alias("bad")), "rule-histogram")
     strata = max(1, hist.select("stratum").distinct().count())
-    share, level = risk / len(names), delta / (strata * len(names))
     kind = hist.schema["stratum"].dataType.simpleString()
 
     def pick(pdf):
-        out = {"stratum": pdf["stratum"].iloc[0]}
-        for name in names:
-            part = pdf[pdf["rule"] == name]
-            good, bad = np.zeros(STEPS + 1, np.int64), np.zeros(STEPS + 1, np.int64)
-            np.add.at(good, part["step"].to_numpy(), part["good"].to_numpy())
-            np.add.at(bad, part["step"].to_numpy(), part["bad"].to_numpy())
-            out[name] = choose(good, bad, share, level)
         import pandas as pd
 
-        return pd.DataFrame([out]).astype({n: "Int64" for n in names})
+        good, bad = np.zeros(STEPS + 1, np.int64), np.zeros(STEPS + 1, np.int64)
+        np.add.at(good, pdf["step"].to_numpy(), pdf["good"].to_numpy())
+        np.add.at(bad, pdf["step"].to_numpy(), pdf["bad"].to_numpy())
+        return pd.DataFrame([{"stratum": pdf["stratum"].iloc[0], "cutoff": choose(good, bad, risk, delta / strata)}]).astype({"cutoff": "Int64"})
 
-    table = hist.groupBy("stratum").applyInPandas(pick, f"stratum {kind}, " + ", ".join(f"`{n}` long" for n in names))
+    table = hist.groupBy("stratum").applyInPandas(pick, f"stratum {kind}, cutoff long")
     table = cut(table, "cutoffs")
     return F.broadcast(table) if strata <= BROADCAST_STRATA else table
 
@@ -166,9 +169,8 @@ def verdicts(docs: DataFrame, labels: DataFrame, key: str = "doc_id", stratum: s
     values = cut(values, "rule-values")
     table = cutoffs(values, labels, key, stratum, risk, delta)
     joined = values.join(table, values[stratum].eqNullSafe(table["stratum"]), "left")
-    failed = F.filter(F.array(*[F.when(F.col(f"_{n}") > F.col(n), F.lit(n)) for n in rules()]), lambda x: x.isNotNull())
-    base = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > REPEAT_PERCENT * F.col("n_words"))
-    return joined.select(values[key], *COUNTS, base.alias("base_failed"), failed.alias("failed")).withColumn("kept", ~F.col("base_failed") & (F.size("failed") == 0))
+    failed = F.filter(F.array(*[F.when(F.col(f"_{n}") > F.col("cutoff"), F.lit(n)) for n in rules()]), lambda x: x.isNotNull())
+    return joined.select(values[key], *COUNTS, base_failed().alias("base_failed"), failed.alias("failed")).withColumn("kept", ~F.col("base_failed") & (F.size("failed") == 0))
 
 
 def keep(docs: DataFrame, labels: DataFrame, key: str = "doc_id", stratum: str = "lang", text: str = "text") -> DataFrame:
@@ -179,8 +181,7 @@ def keep(docs: DataFrame, labels: DataFrame, key: str = "doc_id", stratum: str =
 
 
 def _applied(docs: DataFrame, table: DataFrame, stratum: str, text: str) -> DataFrame:
-    names = list(rules())
-    slim = table.select(F.col("stratum").alias("_stratum"), *[F.col(n).alias(f"_cut_{n}") for n in names])
+    slim = table.select(F.col("stratum").alias("_stratum"), F.col("cutoff").alias("_cutoff"))
     joined = docs.join(slim, docs[stratum].eqNullSafe(slim["_stratum"]), "left").drop("_stratum")
     columns = docs.columns
     at, n_docs = joined.columns.index(text), len(columns)
@@ -190,9 +191,9 @@ def _applied(docs: DataFrame, table: DataFrame, stratum: str, text: str) -> Data
             for batch in batches(whole, text):
                 m = dict(zip(COUNTS, measure(*string_buffers(batch.column(at))), strict=True))
                 ok = (m["n_words"] >= MIN_WORDS) & (100 * m["n_repeat_words"] <= REPEAT_PERCENT * m["n_words"])
-                for i, (a, b) in enumerate(SHARES.values()):
+                limit = batch.column(n_docs).cast(pa.float64()).fill_null(inf).to_numpy(zero_copy_only=False)
+                for a, b in SHARES.values():
                     step = np.minimum(STEPS, STEPS * m[a] // np.maximum(1, m[b]))
-                    limit = batch.column(n_docs + i).cast(pa.float64()).fill_null(inf).to_numpy(zero_copy_only=False)
                     ok &= ~(step > limit)
                 yield pa.RecordBatch.from_arrays(batch.columns[:n_docs], columns).filter(pa.array(ok))
 

@@ -55,6 +55,26 @@ def test_verdicts(spark, docs, empty):
     assert quality_rules.verdicts(empty, labels).count() == quality_rules.keep(empty, labels).count() == 0
 
 
+def test_joint_verdict(spark, docs):
+    """Strata of 250 good labels get a cutoff for all rules; one of 150 has none, and only the base rules reject there."""
+    many = {"de": 250, "en": 250, "es": 250, "fr": 150}
+    rows, marks = [], []
+    for lang, n in many.items():
+        for j in range(n + 40):
+            i, bad = len(rows), j >= n
+            # bad ones fail by different rules; one good one in fifty fails the base rules
+            text = "short" if j % 50 == 0 and not bad else " ".join(f"w{i}x{k}" for k in range(30)) + ((" " + "!" * 30, " " + "#" * 200)[j % 2] if bad else " A")
+            rows.append((i, text, lang, "s", 1))
+            marks.append((i, int(not bad), 0))
+    table = spark.createDataFrame(rows, docs.schema)
+    labels = spark.createDataFrame(marks, "doc_id long, quality int, toxic int")
+    assert quality_rules.needed_labels(4, 1) == 217
+    got = {r.doc_id: r for r in quality_rules.verdicts(table, labels).collect()}
+    for (i, text, lang, *_), (_, good, _) in zip(rows, marks, strict=True):
+        assert got[i].kept == (text != "short" and (bool(good) or lang == "fr"))
+    assert {r.doc_id for r in quality_rules.keep(table, labels).collect()} == {i for i, r in got.items() if r.kept}
+
+
 def fill(caps, weights, budget):
     live, out = set(caps), dict.fromkeys(caps, 0.0)
     while live:
