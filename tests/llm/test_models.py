@@ -80,3 +80,11 @@ def test_inheritance(spark):
 def test_corpus_paths(docs):
     got = license_scan.scan(license_scan.corpus_paths(docs))
     assert got.count() == docs.count()
+
+
+def test_licence_file_with_prose(spark):
+    """A licence line among other text counts in a licence file as it does elsewhere, and is passed on."""
+    prose = "The river rose early that year and the whole valley waited for the water to fall again.\nLicensed under the Apache License, Version 2.0.\nNobody had seen anything like it before."
+    files = spark.createDataFrame([("a/LICENSE.1", prose), ("a/b/1.txt", "x"), ("c/2.txt", prose), ("d/LICENSE", "no cue at all"), ("d/3.txt", "x")], "path string, text string")
+    got = {r.path: (r.licence, r.similarity, r.inherited_from) for r in license_scan.scan(files).collect()}
+    assert got == {"a/LICENSE.1": ("Apache-2.0", 1.0, None), "a/b/1.txt": ("Apache-2.0", None, "a"), "c/2.txt": ("Apache-2.0", 1.0, None), "d/LICENSE": (None, None, None), "d/3.txt": (None, None, None)}
