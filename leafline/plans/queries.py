@@ -169,7 +169,7 @@ def ctc_spaces(s, sf):
 
 @query
 def garbage_text(s, sf):
-    return R.words_of_lines(s, sf).select("doc_id", "line_no", T.is_garbage(F.col("text")).alias("garbage"))
+    return R.text_lines(s, sf).select("doc_id", "line_no", T.is_garbage(F.col("text")).alias("garbage"))
 
 
 @query
@@ -189,7 +189,7 @@ def low_density(s, sf):
 
 @query
 def font_runs(s, sf):
-    runs = R.words_of_lines(s, sf).select("doc_id", "line_no", F.posexplode(T.font_runs(F.col("text"))).alias("run", "r")).select("doc_id", "line_no", "run", "r.latin", F.col("r.text").alias("piece"))
+    runs = R.text_lines(s, sf).select("doc_id", "line_no", F.posexplode(T.font_runs(F.col("text"))).alias("run", "r")).select("doc_id", "line_no", "run", "r.latin", F.col("r.text").alias("piece"))
     return overlay.run_offsets(runs, ["doc_id", "line_no"], "run", F.length("piece") * F.when(F.col("latin"), 5).otherwise(10))
 
 

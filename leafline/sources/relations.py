@@ -57,12 +57,6 @@ def text_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "text"))
 
 
-def words_of_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Short pieces as recognised lines: every line's first 12 characters and a stretched middle."""
-    t = text_lines(spark, sf_dir)
-    return t.select("doc_id", "line_no", F.substring("text", 1, 12).alias("text"))
-
-
 def pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = load(spark, sf_dir, "orders")
     n = max(1, o.count() // 150)
