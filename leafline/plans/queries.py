@@ -84,12 +84,7 @@ def frame_zones(s, sf):
 
 
 def _claimed(s, sf):
-    return frames.claim(R.boxes(s, sf), _few(s, sf))
-
-
-def _few(s, sf):
-    """The first six frames of each page."""
-    return R.frames(s, sf).where("frame_id <= 6")
+    return frames.claim(R.boxes(s, sf), R.frames(s, sf))
 
 
 @query
@@ -117,7 +112,7 @@ def class_counts(s, sf):
 
 @query
 def page_final_order(s, sf):
-    return frames.final_order(R.boxes(s, sf), _few(s, sf), R.WIDTH, True).select(*B, "frame_id", "seq")
+    return frames.final_order(R.boxes(s, sf), R.frames(s, sf), R.WIDTH, True).select(*B, "frame_id", "seq")
 
 
 @query

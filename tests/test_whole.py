@@ -1,12 +1,15 @@
 """Named queries against plain versions on small tables, where rows and text beyond a prefix decide."""
 
 import re
+from collections import Counter, defaultdict
 from itertools import groupby
 
 import pyarrow as pa
 import pyarrow.parquet as pq
 
+from leafline.operators import order
 from leafline.plans.queries import ALL
+from leafline.sources import relations as R
 
 LINES = ["", "plain words in a line", "a good start and then " + "x" * 60, "first twelve x" + "é" * 40, "ab 日本 cd — ef", "ascii only for a long while, then café", "- - - - - - - - - - - - -", "............text with dots"]
 
@@ -33,3 +36,52 @@ def test_whole_lines(spark, tmp_path):
             want.add((d, i, k, latin, piece, offset))
             offset += len(piece) * (5 if latin else 10)
     assert {tuple(r) for r in ALL["font_runs"](spark, str(tmp_path)).select("doc_id", "line_no", "run", "latin", "piece", "offset").collect()} == want
+
+
+def by_page(df):
+    out = defaultdict(list)
+    for r in df.collect():
+        out[r.page].append(r)
+    return out
+
+
+def covered(spans):
+    return len(set().union(*[range(a, b) for a, b in spans])) if spans else 0
+
+
+def claimed(spark, small):
+    """The frame of each box, over all frames of its page."""
+    held, out = by_page(R.frames(spark, small)), {}
+    for page, bs in by_page(R.boxes(spark, small)).items():
+        for b in bs:
+            slack, mid = max(4, b.y2 - b.y1), b.y1 + b.y2
+            hit = [(min(b.x2, f.x2) - max(b.x1, f.x1), -f.frame_id, f) for f in held[page] if 2 * f.y1 - slack <= mid <= 2 * f.y2 + slack and min(b.x2, f.x2) > max(b.x1, f.x1)]
+            enough = 2 * covered([(max(b.x1, f.x1), min(b.x2, f.x2)) for _, _, f in hit]) >= max(1, b.x2 - b.x1)
+            out[page, b.box_id] = (max(hit)[2].frame_id if hit and enough else -1, b.score)
+    return out
+
+
+def test_all_frames_claim(spark, small):
+    want = claimed(spark, small)
+    assert max(f for f, _ in want.values()) > 6
+    got = {n: ALL[n](spark, small).collect() for n in ("frame_claim", "frame_partition", "class_counts", "union_parts")}
+    assert {(r.page, r.box_id): r.frame_id for r in got["frame_claim"]} == {k: f for k, (f, _) in want.items()}
+    kind = {k: "in" if f >= 0 else "norec" if score < 0.4 else "out" for k, (f, score) in want.items()}
+    assert {(r.page, r.box_id): r.cls for r in got["frame_partition"]} == kind
+    n = Counter((page, c) for (page, _), c in kind.items())
+    assert {r.page: (r.n_in, r.n_out, r.n_norec) for r in got["class_counts"]} == {p: (n[p, "in"], n[p, "out"], n[p, "norec"]) for p, _ in kind}
+    rank = {p: {k: i for i, k in enumerate(sorted((int(want[p, b][0] < 0), b) for q, b in want if q == p), 1)} for p, _ in want}
+    assert {(r.page, r.box_id): (r.part, r.seq) for r in got["union_parts"]} == {(p, b): (part, i) for p, ks in rank.items() for (part, b), i in ks.items()}
+
+
+def test_all_frames_order(spark, small):
+    want = claimed(spark, small)
+    place = {(r.page, r.frame_id): r.seq for r in order.frames_in_order(R.frames(spark, small), ["page"], R.WIDTH).collect()}
+    pages = by_page(ALL["page_final_order"](spark, small))
+    assert sum(map(len, pages.values())) == len(want)
+    for page, rows in pages.items():
+        rows.sort(key=lambda r: r.seq)
+        assert [r.seq for r in rows] == list(range(1, len(rows) + 1))
+        assert all(r.frame_id == want[page, r.box_id][0] for r in rows)
+        ranks = [place[page, r.frame_id] if r.frame_id >= 0 else 1 << 30 for r in rows]
+        assert ranks == sorted(ranks)
