@@ -85,3 +85,8 @@ def test_all_frames_order(spark, small):
         assert all(r.frame_id == want[page, r.box_id][0] for r in rows)
         ranks = [place[page, r.frame_id] if r.frame_id >= 0 else 1 << 30 for r in rows]
         assert ranks == sorted(ranks)
+
+
+def test_union_of_all_boxes(spark, small):
+    want = {page: covered([(b.x1, b.x2) for b in bs]) for page, bs in by_page(R.boxes(spark, small)).items()}
+    assert {r.page: r.covered for r in ALL["interval_union"](spark, small).collect()} == want
