@@ -88,4 +88,4 @@ def upright_box(b: dict, score: Column, scale_x: Column, scale_y: Column, width:
     def back(x: Column, scale: Column, most: Column) -> Column:
         return round_half_up(F.least(most - 1, F.greatest(F.lit(0), x / scale))).cast("long")
 
-    return {"x1": back(b["x1"] - grow, scale_x, width), "y1": back(b["y1"] - grow, scale_y, height), "x2": back(b["x2"] + grow, scale_x, width), "y2": back(b["y2"] + grow, scale_y, height), "score": score}
+    return {"x1": back(b["x1"] - grow, scale_x, width), "y1": back(b["y1"] - grow, scale_y, height), "x2": back(b["x2"] + 1 + grow, scale_x, width), "y2": back(b["y2"] + 1 + grow, scale_y, height), "score": score}

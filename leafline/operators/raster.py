@@ -59,6 +59,15 @@ def statistics(parts: DataFrame, px: DataFrame, least: int = 3) -> DataFrame:
     return out.where((F.col("x2") - F.col("x1") + 1 >= least) & (F.col("y2") - F.col("y1") + 1 >= least))
 
 
+def box_scores(boxes: DataFrame, px: DataFrame) -> DataFrame:
+    """Replaces score by the mean of the undilated map over the bounding box, where missing pixels are 0."""
+    p = px.select(F.col("page").alias("_page"), F.col("y").alias("_y"), F.col("x").alias("_x"), F.col("p").alias("_p"))
+    inside = (F.col("page") == F.col("_page")) & F.col("_y").between(F.col("y1"), F.col("y2")) & F.col("_x").between(F.col("x1"), F.col("x2"))
+    kept = [c for c in boxes.columns if c != "score"]
+    total = boxes.join(p, inside, "left").groupBy(*kept).agg(F.coalesce(F.sum("_p"), F.lit(0.0)).alias("_sum"))
+    return total.select(*kept, (F.col("_sum") / ((F.col("x2") - F.col("x1") + 1) * (F.col("y2") - F.col("y1") + 1))).alias("score"))
+
+
 def polygon(points: DataFrame, keys: list[str], place: str = "i") -> DataFrame:
     """Signed area and perimeter of polygons given as rows (x, y) in order."""
     seq = F.array_sort(F.collect_list(F.struct(F.col(place), F.col("x"), F.col("y"))))

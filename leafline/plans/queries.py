@@ -403,7 +403,8 @@ def active_jobs(s, sf):
 
 @query
 def upright_boxes(s, sf):
-    b = component_stats(s, sf)
+    area = (F.col("x2") - F.col("x1") + 1) * (F.col("y2") - F.col("y1") + 1)
+    b = raster.box_scores(component_stats(s, sf), R.pixels(s, sf)).withColumn("score", F.round(F.col("score") * area * 1000).cast("long").cast("double") / (area * 1000))
     u = G.upright_box(G.box(), F.col("score"), F.lit(0.5), F.lit(0.25), F.lit(90), F.lit(180))
     return b.where("score >= 0.2").select("page", "comp", *[c.alias(f"u_{k}") for k, c in u.items()])
 

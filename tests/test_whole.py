@@ -1,5 +1,6 @@
 """Named queries against plain versions on small tables, where rows and text beyond a prefix decide."""
 
+import math
 import re
 from collections import Counter, defaultdict
 from itertools import groupby
@@ -90,3 +91,17 @@ def test_all_frames_order(spark, small):
 def test_union_of_all_boxes(spark, small):
     want = {page: covered([(b.x1, b.x2) for b in bs]) for page, bs in by_page(R.boxes(spark, small)).items()}
     assert {r.page: r.covered for r in ALL["interval_union"](spark, small).collect()} == want
+
+
+def test_upright_boxes(spark, small):
+    """Score over the whole bounding box and ends behind its last pixel."""
+    px = {(r.page, r.y, r.x): r.p for r in R.pixels(spark, small).collect()}
+    want = {}
+    for c in ALL["component_stats"](spark, small).collect():
+        w, h = c.x2 - c.x1 + 1, c.y2 - c.y1 + 1
+        score = sum(px.get((c.page, y, x), 0) for y in range(c.y1, c.y2 + 1) for x in range(c.x1, c.x2 + 1)) / (w * h)
+        d = w * h * 1.6 / (2 * (w + h))
+        back = lambda v, scale, most: math.floor(min(most - 1, max(0, v / scale)) + 0.5)
+        if score >= 0.2:
+            want[c.page, c.comp] = (back(c.x1 - d, 0.5, 90), back(c.y1 - d, 0.25, 180), back(c.x1 + w + d, 0.5, 90), back(c.y1 + h + d, 0.25, 180), round(score, 9))
+    assert want and {(r.page, r.comp): (r.u_x1, r.u_y1, r.u_x2, r.u_y2, round(r.u_score, 9)) for r in ALL["upright_boxes"](spark, small).collect()} == want
