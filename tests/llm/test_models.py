@@ -1,3 +1,6 @@
+import textwrap
+from pathlib import Path
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -88,3 +91,17 @@ def test_licence_file_with_prose(spark):
     files = spark.createDataFrame([("a/LICENSE.1", prose), ("a/b/1.txt", "x"), ("c/2.txt", prose), ("d/LICENSE", "no cue at all"), ("d/3.txt", "x")], "path string, text string")
     got = {r.path: (r.licence, r.similarity, r.inherited_from) for r in license_scan.scan(files).collect()}
     assert got == {"a/LICENSE.1": ("Apache-2.0", 1.0, None), "a/b/1.txt": ("Apache-2.0", None, "a"), "c/2.txt": ("Apache-2.0", 1.0, None), "d/LICENSE": (None, None, None), "d/3.txt": (None, None, None)}
+
+
+def test_real_licences(spark):
+    """Whole licence files, wrapped headers and SPDX lines, as they are in repositories."""
+    full = {n: "\n".join(textwrap.fill(x, 72) for x in t.replace("Copyright (c)", "Copyright (c) 2021 Jane Doe and others").split("\n")) for n, t in license_scan.FULL_TEXTS}
+    bsd = Path("/usr/share/common-licenses/BSD")
+    rows = [(f"{n}/LICENSE", t, n) for n, t in full.items()] + ([("regents/LICENSE", bsd.read_text(), "BSD-3-Clause")] if bsd.exists() else [])
+    mpl = "This Source Code Form is subject to the terms of the Mozilla Public\nLicense, v. 2.0. If a copy of the MPL was not distributed with this\nfile, You can obtain one at https://mozilla.org/MPL/2.0/."
+    rows += [("m/a.c", "/* " + mpl.replace("\n", "\n * ") + " */\nint x;", "MPL-2.0"), ("m/b.py", "# " + mpl.replace("\n", "\n# ") + "\nx = 1", "MPL-2.0"), ("m/c.xml", "<!--\n" + mpl + "\n-->\n<x/>", "MPL-2.0")]
+    for i, e in enumerate(("MIT", "Apache-2.0", "GPL-3.0-or-later", "MIT OR Apache-2.0", "(GPL-2.0-only WITH Classpath-exception-2.0)")):
+        rows.append((f"s/{i}.c", f"// SPDX-License-Identifier: {e}\nint x;", e))
+    rows += [("n/LICENSE", "A contract of the parties of the first part about the use of the house and of the garden, to which no licence applies.", None), ("n/a.py", "# a comment\n# of two lines on permission bits\nx = 1", None)]
+    got = {r.path: r.own_licence for r in license_scan.scan(spark.createDataFrame([r[:2] for r in rows], "path string, text string")).collect()}
+    assert got == {p: n for p, _, n in rows}
