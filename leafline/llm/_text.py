@@ -13,7 +13,7 @@ LOWER[65:91] += 32
 _MASK = np.array([(1 << (8 * i)) - 1 for i in range(8)] + [(1 << 64) - 1], dtype=np.uint64)
 
 
-def batches(batch: pa.RecordBatch, column: str = "text", limit: int = 16 << 20):
+def batches(batch: pa.RecordBatch, column: str = "text", limit: int = 4 << 20):
     """Slices of a batch whose texts hold about limit bytes at most (one longer text alone), so that memory stays bounded."""
     n = batch.num_rows
     if not n:
@@ -98,9 +98,28 @@ def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: in
     return h
 
 
+def same_spans(data: np.ndarray, a: np.ndarray, b: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Whether data[a:a+size] equals data[b:b+size], eight bytes at a time."""
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    lanes = np.ndarray((len(data) + 1,), "<u8", padded, strides=(1,))
+    out = np.ones(len(a), bool)
+    live, done = np.arange(len(a)), 0
+    while len(live):
+        left = size[live] - done
+        mask = np.where(left >= 8, U(0xFFFFFFFFFFFFFFFF), (U(1) << (np.clip(left, 0, 7).astype(np.uint64) * U(8))) - U(1))
+        bad = ((lanes[a[live] + done] ^ lanes[b[live] + done]) & mask) != 0
+        out[live[bad]] = False
+        live = live[~bad & (left > 8)]
+        done += 8
+    return out
+
+
 def counts(flags: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """How many flags are set in each span between offsets."""
-    return np.diff(np.concatenate([[0], np.cumsum(flags, dtype=np.int64)])[offsets])
+    """How many flags are set in each span between offsets; no array of more than a byte for each flag is made."""
+    out, some = np.zeros(len(offsets) - 1, np.int64), np.flatnonzero(np.diff(offsets))
+    if len(some):
+        out[some] = np.add.reduceat(flags[: offsets[-1]], offsets[some], dtype=np.int64)
+    return out
 
 
 def window_hashes(h: np.ndarray, k: int, seed: int = 0x5851F42D4C957F2D) -> np.ndarray:

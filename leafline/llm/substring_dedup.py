@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from leafline.llm._text import SPACE, batches, mix, owner, span_hashes, string_buffers, window_hashes, words
+from leafline.llm._text import SPACE, batches, mix, owner, same_spans, span_hashes, string_buffers, window_hashes, words
 from leafline.session import ship
 
 U = np.uint64
@@ -82,22 +82,6 @@ def super_kmers(h: np.ndarray, first: np.ndarray, window: int, seed: int) -> tup
     return at, count, mix(least[at] & ~mask)
 
 
-def same_spans(data: np.ndarray, a: np.ndarray, b: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """Whether data[a:a+size] equals data[b:b+size], eight bytes at a time."""
-    padded = np.concatenate([data, np.zeros(8, np.uint8)])
-    lanes = np.ndarray((len(data) + 1,), "<u8", padded, strides=(1,))
-    out = np.ones(len(a), bool)
-    live, done = np.arange(len(a)), 0
-    while len(live):
-        left = size[live] - done
-        mask = np.where(left >= 8, U(0xFFFFFFFFFFFFFFFF), (U(1) << (np.clip(left, 0, 7).astype(np.uint64) * U(8))) - U(1))
-        bad = ((lanes[a[live] + done] ^ lanes[b[live] + done]) & mask) != 0
-        out[live[bad]] = False
-        live = live[~bad & (left > 8)]
-        done += 8
-    return out
-
-
 def repeats(data: np.ndarray, start: np.ndarray, size: np.ndarray, hashes: np.ndarray, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """For spans in ascending order of occurrence: (index of the first equal span, whether an earlier place has an equal span). rank: places; equal places are one occurrence."""
     n = len(start)
