@@ -32,7 +32,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from leafline.llm._text import batches
+from leafline.llm._text import LOWER, batches, same_spans, span_hashes, string_buffers, words
+from leafline.llm.bpe import byte_alphabet
 from leafline.session import cut, ship, work_dir
 
 MAGIC = b"LFSST001"
@@ -40,6 +41,9 @@ FOOTER = struct.Struct("<QQQQQQ8s")
 RESTART = 16
 #: Marks that may follow a word: neither letters nor digits, and no part of a contraction or a special token.
 MARKS = '!"#$%&()*+,-./:;=?@[]^_`{}~'
+_MARK, _LETTER = np.zeros(256, bool), np.zeros(256, bool)
+_MARK[list(MARKS.encode())] = True
+_LETTER[[*range(65, 91), *range(97, 123)]] = True
 BLOCK_BYTES, SHARD_BYTES, BLOOM_BITS, BLOOM_HASHES = 64 << 10, 64 << 20, 10, 7
 
 
@@ -208,13 +212,16 @@ def file_system(uri: str) -> tuple[pafs.FileSystem, str]:
 
 
 class ChunkEncoder:
-    """Runs the tokenizers library on the distinct space-separated chunks of texts; a bounded cache from chunk to ids.
+    """Runs the tokenizers library on the distinct pieces of texts; a bounded cache from piece to ids.
 
-    Only for vocabularies whose normaliser keeps ASCII white space apart and whose pre-tokeniser drops it, so that chunks
-    are encoded alike alone and in their text, and lower-cases words and parts them from marks.
+    Only for vocabularies whose normaliser keeps ASCII white space apart and whose pre-tokeniser drops it, so that
+    space-separated words are encoded alike alone and in their text, which lower-case words, part them from marks and end
+    a word's last token in a suffix of its own. A piece is a lower-cased word of ASCII letters, the marks after it, or
+    any other word as it is. Words of letters go to the library's BPE model directly, as normaliser and pre-tokeniser
+    leave them alone; all others go through the whole tokenizer.
     """
 
-    LIMIT = 1_200_000
+    LIMIT = 400_000
 
     def __init__(self, path: str):
         self.kept: dict[bytes, bytes] = {}
@@ -224,48 +231,131 @@ class ChunkEncoder:
         self.tok = Tokenizer.from_file(path)
         self.tok.no_truncation()
         self.tok.no_padding()
-        self.width = 2 if self.tok.get_vocab_size() < 1 << 16 else 4
-
-    def fill(self, chunks: set[bytes]) -> None:
+        self.bare = Tokenizer(self.tok.model)
+        self.alphabet = {byte: char for char, byte in byte_alphabet().items()}
+        size = self.tok.get_vocab_size()
+        self.width = 2 if size < 1 << 16 else 4
+        suffix = self.tok.model.end_of_word_suffix
+        self.ends_word = np.array([bool(suffix) and (self.tok.id_to_token(i) or "").endswith(suffix) for i in range(size)])
+
+    def fill(self, pieces: list[bytes]) -> None:
+        """Encodes pieces that the cache lacks."""
         kept = self.kept
-        if len(kept) > self.LIMIT:
-            kept.clear()
-        split = {c: self.split(c) for c in chunks if c not in kept}
-        new = list({p for parts in split.values() for p in parts if p not in kept})
-        for at in range(0, len(new), 20_000):
-            part = new[at : at + 20_000]
-            got = self.tok.encode([c.decode() for c in part], is_pretokenized=True, add_special_tokens=False)
-            ids = np.array(got.ids, f"<u{self.width}").tobytes()
-            ends = np.searchsorted(np.array([-1 if w is None else w for w in got.word_ids], np.int64), np.arange(len(part)), "right") * self.width
-            for c, a, b in zip(part, [0, *ends[:-1].tolist()], ends.tolist(), strict=True):
-                kept[c] = ids[a:b]
+        split = {c: self.split(c) for c in pieces if not (c.isalpha() and c.isascii())}
+        plain = {c for c in pieces if c not in split}
+        other: set[bytes] = set()
+        for parts in split.values():
+            for x in parts:
+                (plain if self.is_plain(x) else other).add(x)
+        for group, run in ((plain, self.words), (other, self.whole)):
+            new = [c for c in group if c not in kept]
+            for at in range(0, len(new), 20_000):
+                part = new[at : at + 20_000]
+                kept.update(zip(part, run(part), strict=True))
         for c, parts in split.items():
             if len(parts) > 1 or parts[0] != c:
                 kept[c] = b"".join(map(kept.__getitem__, parts))
 
+    def words(self, part: list[bytes]) -> list[bytes]:
+        """Ids of lower-case words of letters, by the BPE model alone; a token with the suffix ends a word."""
+        named = [c.decode() if c.isascii() else c.decode("latin-1").translate(self.alphabet) for c in part]
+        got = np.array(self.bare.encode_batch_fast([named], is_pretokenized=True, add_special_tokens=False)[0].ids, f"<u{self.width}")
+        ends = (np.flatnonzero(self.ends_word[got]) + 1) * self.width
+        if len(ends) != len(part):
+            return self.whole(part)
+        raw = got.tobytes()
+        return [raw[a:b] for a, b in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)]
+
+    def whole(self, part: list[bytes]) -> list[bytes]:
+        """Ids of pieces by the whole tokenizer."""
+        got = self.tok.encode([c.decode() for c in part], is_pretokenized=True, add_special_tokens=False)
+        raw = np.array(got.ids, f"<u{self.width}").tobytes()
+        ends = np.searchsorted(np.array([-1 if w is None else w for w in got.word_ids], np.int64), np.arange(len(part)), "right") * self.width
+        return [raw[a:b] for a, b in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)]
+
+    @staticmethod
+    def is_plain(piece: bytes) -> bool:
+        """A lower-case word of Latin letters that have one code point in either case."""
+        text = piece.decode()
+        return text.isalpha() and max(text) < "\u0180" and text.islower() and text.lower() == text and unicodedata.is_normalized("NFC", text)
+
     @staticmethod
     def split(chunk: bytes) -> tuple[bytes, ...]:
         """A word of letters and the marks after it, which the pre-tokeniser parts anyway; other chunks stay whole."""
         text = chunk.decode()
         core = text.rstrip(MARKS)
-        # letters that the normaliser parts into a letter and a mark would take the marks after the word along
-        if not (core.isalpha() and (core.isascii() or unicodedata.normalize("NFC", core).lower().isalpha())):
-            return (chunk,)
-        word = (core.lower() if core.isascii() else core).encode()
-        return (word, text[len(core) :].encode()) if len(core) < len(text) else (word,)
+        if core.isalpha():
+            low = core.lower()
+            # letters that the normaliser parts into a letter and a mark would take the marks after the word along
+            if len(low) == len(core) and max(low) < "\u0180" or unicodedata.normalize("NFC", core).lower().isalpha():
+                word = (low if len(low) == len(core) and max(low) < "\u0180" else core).encode()
+                return (word, text[len(core) :].encode()) if len(core) < len(text) else (word,)
+        return (chunk,)
 
     def alone(self, chunk: bytes) -> bytes:
-        """Ids of a chunk by the library itself; rare long chunks are not kept."""
-        found = self.kept.get(chunk)
-        return np.array(self.tok.encode(chunk.decode(), add_special_tokens=False).ids, f"<u{self.width}").tobytes() if found is None else found
+        """Ids of one chunk by the library itself."""
+        return np.array(self.tok.encode(chunk.decode(), add_special_tokens=False).ids, f"<u{self.width}").tobytes()
 
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        lists = [(t or "").encode().split() for t in texts]
-        found = set().union(*lists)
+    @staticmethod
+    def pieces(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(bytes with words of ASCII lower-cased, starts and ends of pieces, first piece of each text)."""
+        starts, ends, first = words(data, off)
+        if not len(starts):
+            return data, starts, ends, first
+        ascii_only = np.maximum.reduceat(data, starts) < 0x80
+        angle = np.flatnonzero((data[:-1] == 0x3C) & (data[1:] == 0x7C))  # special tokens keep their case
+        if len(angle):
+            ascii_only[np.searchsorted(starts, angle, "right") - 1] = False
+        norm = LOWER[data]
+        raw = np.flatnonzero(~ascii_only)
+        size = ends[raw] - starts[raw]
+        at = np.repeat(starts[raw] - np.cumsum(size) + size, size) + np.arange(int(size.sum()))
+        norm[at] = data[at]
+        last = np.maximum.accumulate(np.where(_MARK[data], np.int32(-1), np.arange(len(data), dtype=np.int32)))
+        core = np.maximum(starts, last[ends - 1].astype(np.int64) + 1)
+        letters = np.cumsum(_LETTER[data], dtype=np.int32)
+        n_letters = letters[core - 1] - np.where(starts > 0, letters[starts - 1], 0)
+        cut_off = ascii_only & (core > starts) & (core < ends) & (n_letters == core - starts)
+        place = np.arange(len(starts)) + np.cumsum(cut_off) - cut_off
+        p_start, p_end = np.empty(len(starts) + int(cut_off.sum()), np.int64), np.empty(len(starts) + int(cut_off.sum()), np.int64)
+        p_start[place], p_end[place] = starts, np.where(cut_off, core, ends)
+        p_start[place[cut_off] + 1], p_end[place[cut_off] + 1] = core[cut_off], ends[cut_off]
+        return norm, p_start, p_end, np.concatenate([place, [len(p_start)]])[first]
+
+    @staticmethod
+    def distinct(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(one span of each content, the number of each span's content), by hashes that are checked against the bytes."""
+        seed = 0
+        while True:
+            _, one, of = np.unique(span_hashes(data, starts, ends, seed), return_index=True, return_inverse=True)
+            size = ends - starts
+            if (size == size[one][of]).all() and same_spans(data, starts, starts[one][of], size).all():
+                return one, of
+            seed += 1
+
+    def encode(self, texts: pa.Array) -> list[bytes]:
+        """Ids of each text (null as empty), little-endian."""
+        data, off = string_buffers(texts)
+        norm, starts, ends, first = self.pieces(data, off)
+        if not len(starts):
+            return [b""] * len(texts)
+        one, of = self.distinct(norm, starts, ends)
+        view = norm.tobytes()
+        found = [view[a:b] for a, b in zip(starts[one].tolist(), ends[one].tolist(), strict=True)]
+        if len(self.kept) > self.LIMIT:
+            self.kept.clear()
         rare = {c for c in found if len(c) > 24 or b"<|" in c}
-        self.fill(found - rare)
+        self.fill([c for c in found if c not in self.kept and c not in rare])
         get = self.kept.__getitem__
-        return [b"".join(map(self.alone if rare and not rare.isdisjoint(x) else get, x)) for x in lists]
+        values = [self.alone(c) if c in rare else get(c) for c in found] if rare else list(map(get, found))
+        flat = np.frombuffer(b"".join(values), f"<u{self.width}")
+        size = np.fromiter(map(len, values), np.int64, len(values)) // self.width
+        begin = np.cumsum(size) - size
+        each = size[of]
+        stop = np.cumsum(each)
+        ids = flat[np.repeat(begin[of] - stop + each, each) + np.arange(int(stop[-1]))].tobytes()
+        edge = (np.concatenate([[0], stop])[first] * self.width).tolist()
+        return [ids[a:b] for a, b in zip(edge[:-1], edge[1:], strict=True)]
 
 
 _KEPT: dict[str, ChunkEncoder] = {}
@@ -299,7 +389,7 @@ def write(docs: DataFrame, path: str, out: str, end_id: int, key: str = "doc_id"
         end = end_id.to_bytes(enc.width, "little")
         for whole in it:
             for batch in batches(whole, "t", 4 << 20):
-                for doc_id, ids in zip(batch.column(0).to_pylist(), enc.encode(batch.column(1).to_pylist()), strict=True):
+                for doc_id, ids in zip(batch.column(0).to_pylist(), enc.encode(batch.column(1)), strict=True):
                     if w is None:
                         fs.create_dir(base, recursive=True)
                         name = f"{place:06d}-{part:05d}-{uuid.uuid4().hex[:8]}.sst"
