@@ -28,7 +28,7 @@ from leafline.session import ship
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 NONE = 1 << 62
 #: Pre-tokens kept per worker, and the longest that is kept.
-CACHE_ENTRIES, CACHE_CHARS = 600_000, 16
+CACHE_ENTRIES, CACHE_CHARS = 250_000, 16
 #: Texts beyond this many characters are pre-tokenised piecewise.
 LONG_TEXT = 1 << 20
 
