@@ -41,7 +41,7 @@ from leafline.session import cut, ship
 U = np.uint64
 SHINGLE = 5
 #: Bytes of text that a task works on at a time; bytes of text for each bucket of keys, on average.
-SLAB, BUCKET_BYTES = 12 << 20, 32 << 20
+SLAB, BUCKET_BYTES = 5 << 20, 12 << 20
 #: A key of more classes than this is frequent; so many of the most frequent keys at most are sent to the tasks (they steer cost, not results).
 FREQUENT, MOST_FREQUENT = 16, 200_000
 #: Share of the hash range (as 1/EIGHTH) for one-deletion segments, exact segments per shingle of the largest set, shingles per one-deletion segment.
@@ -318,17 +318,19 @@ def _second_pass(docs: DataFrame, text: str, frequent: np.ndarray, extra: np.nda
 def _stars(held: list) -> tuple[np.ndarray, np.ndarray]:
     """Of one bucket: for every key of several classes, the class that shares most keys there (the center) with each other class; distinct."""
     got = [_unpack(*x) for x in held]
-    table, back = np.unique(np.concatenate([g[2] for g in got]).view(">u8").reshape(-1, 2).copy().view([("a", ">u8"), ("b", ">u8")]).reshape(-1), return_inverse=True)
-    shift = np.cumsum([0] + [len(g[2]) for g in got])
     keys = np.concatenate([g[0] for g in got])
-    gid = np.concatenate([back[s + g[1]] for s, g in zip(shift, got, strict=False)])
+    # keys of one entry go first; only the rest gets class numbers
     order = np.argsort(keys, kind="stable")
-    keys = keys[order]
+    same = keys[order[1:]] == keys[order[:-1]]
     twice = np.zeros(len(keys), bool)
-    same = keys[1:] == keys[:-1]
-    twice[1:] |= same
-    twice[:-1] |= same
-    keys, gid = keys[twice], gid[order][twice]
+    twice[order[1:][same]] = True
+    twice[order[:-1][same]] = True
+    del order, same
+    keys = keys[twice]
+    edge = np.cumsum([0] + [len(g[0]) for g in got])
+    named = np.concatenate([g[2][g[1][twice[a:b]]] for g, a, b in zip(got, edge[:-1], edge[1:], strict=True)])
+    del got, twice
+    table, gid = np.unique(named.view(">u8").reshape(-1, 2).copy().view([("a", ">u8"), ("b", ">u8")]).reshape(-1), return_inverse=True)
     order = np.lexsort((gid, keys))
     keys, gid = keys[order], gid[order]
     keep = np.ones(len(keys), bool)
