@@ -17,11 +17,11 @@ the pigeonhole principle two linked sets stop no earlier than at their first com
 as frequent: the counts, taken over all documents in a first pass, only steer cost. If a set's segments cannot pass its U
 (a few shingles in one segment), the interval gets twice as many segments, until all sets can.
 
-Verification. Equal sets form one class (128-bit sum hash). In each bucket of keys, classes that share a key are paired with
-the one that shares most keys there (the center); profiles (shingle counts by part of the hash range, a lower bound of the
-difference) refute most pairs, the others are verified exactly on whole sets, components are formed, and only the pairs that still lie
-in different components are compared in a second step, in blocks: bounds by sizes, profiles and distances to the common center
-refute pairs there before they leave the task. A group of copies costs a star, not all its pairs.
+Verification. Equal sets form one class (128-bit sum hash). Classes that share a key are paired with the least of them (the
+center); profiles (shingle counts by part of the hash range, a lower bound of the difference) refute most pairs, the others
+are verified exactly on whole sets, components are formed, and only the pairs that still lie in different components are
+compared in a second step, cluster by cluster (large ones in blocks): bounds by sizes, profiles and distances to the common
+center refute pairs there before they leave the task. A group of copies costs a star, not all its pairs.
 
 Defined results: null, empty or blank text has an empty set, is linked with nothing and is its own component; repeated rows
 get one result each; null identifiers are never a component's name unless all are null; an empty table gives no rows.
@@ -46,8 +46,10 @@ SLAB, BUCKET_BYTES = 5 << 20, 12 << 20
 FREQUENT, MOST_FREQUENT = 16, 200_000
 #: Share of the hash range (as 1/EIGHTH) for one-deletion segments, exact segments per shingle of the largest set, shingles per one-deletion segment.
 EIGHTH, EXACT, WIDE = 8, 1.0, 32
-#: Members of a cluster in a block, on average.
-BLOCK = 256
+#: Members of a cluster in a block at most, on average; smaller clusters are one block.
+BLOCK = 2048
+#: Shingles in a part of a profile, on average.
+PART = 2
 REGION = U((1 << 32) - (1 << 32) // EIGHTH)
 
 
@@ -174,12 +176,12 @@ class Keys:
 
 
 def profiles(h: np.ndarray, begin: np.ndarray) -> list[bytes]:
-    """How many shingles of each set fall into each of 64 or more equal parts of the hash range, up to one to a part on average; empty if a count is above 255.
+    """How many shingles of each set fall into each of 64 or more equal parts of the hash range, PART to a part at most on average; empty if a count is above 255.
 
     The counts of two sets differ, summed up, by no more than the sets do, so they refute most pairs without the sets.
     """
     size = np.diff(begin)
-    bits = np.maximum(6, np.ceil(np.log2(np.maximum(size, 1))).astype(np.int64))
+    bits = np.maximum(6, np.ceil(np.log2(np.maximum(size, 1) / PART)).astype(np.int64))
     base = np.concatenate([[0], np.cumsum(1 << bits)])
     doc = np.repeat(np.arange(len(size)), size)
     count = np.bincount((h >> (64 - bits[doc]).astype(np.uint64)).astype(np.int64) + base[doc], minlength=int(base[-1]))
@@ -316,7 +318,7 @@ def _second_pass(docs: DataFrame, text: str, frequent: np.ndarray, extra: np.nda
 
 
 def _stars(held: list) -> tuple[np.ndarray, np.ndarray]:
-    """Of one bucket: for every key of several classes, the class that shares most keys there (the center) with each other class; distinct."""
+    """Of one bucket: for every key of several classes, the least of them (the center) with each other class; distinct. Names are hashes, and all buckets agree on their order, so the keys of one group of near copies share few centers."""
     got = [_unpack(*x) for x in held]
     keys = np.concatenate([g[0] for g in got])
     # keys of one entry go first; only the rest gets class numbers
@@ -336,9 +338,6 @@ def _stars(held: list) -> tuple[np.ndarray, np.ndarray]:
     keep = np.ones(len(keys), bool)
     keep[1:] = (keys[1:] != keys[:-1]) | (gid[1:] != gid[:-1])
     keys, gid = keys[keep], gid[keep]
-    hits = np.bincount(gid, minlength=len(table))
-    order = np.lexsort((gid, -hits[gid], keys))
-    keys, gid = keys[order], gid[order]
     lead = np.ones(len(keys), bool)
     lead[1:] = keys[1:] != keys[:-1]
     center = gid[lead][np.cumsum(lead) - 1]
@@ -430,14 +429,14 @@ def _compared(docs: DataFrame, key: str, text: str, pairs: DataFrame, faces: Dat
 def _cross(stars: DataFrame, labels: DataFrame, faces: DataFrame) -> DataFrame:
     """Pairs (a, b) in one cluster (classes with one center) but different components that no bound refutes.
 
-    A cluster is dealt in blocks: those of its most frequent component against the others, and the others among themselves.
-    Inside a pair of blocks sizes, profiles and the distances to the center (the symmetric difference is a metric) refute
-    pairs; only the rest leaves the task.
+    A cluster is one block, or it is dealt in blocks: those of its most frequent component against the others, and the
+    others among themselves. Inside a block, or a pair of them, sizes, profiles and the distances to the center (the
+    symmetric difference is a metric) refute pairs; only the rest leaves the task.
     """
     member = stars.select("a", "b", F.col("nb").alias("n"), F.coalesce("d", "low").alias("lo"), F.coalesce("d", F.col("na") + F.col("nb")).alias("hi"))
     placed = member.join(labels.select(F.col("node").alias("b"), "label"), "b", "left").withColumn("label", F.coalesce("label", "b"))
     each = placed.groupBy("a", "label").agg(F.count("*").alias("k"))
-    whole = each.groupBy("a").agg(F.sum("k").alias("t"), F.max(F.struct("k", "label")).alias("m")).select("a", F.col("m.label").alias("major"), F.ceil(F.col("m.k") / BLOCK).alias("n_major"), (F.col("t") - F.col("m.k")).alias("rest"))
+    whole = each.groupBy("a").agg(F.sum("k").alias("t"), F.max(F.struct("k", "label")).alias("m")).select("a", "t", F.col("m.label").alias("major"), F.ceil(F.col("m.k") / BLOCK).alias("n_major"), (F.col("t") - F.col("m.k")).alias("rest"))
     mixed = whole.where("rest > 0").withColumn("n_rest", F.ceil(F.col("rest") / BLOCK)).drop("rest")
     rows = placed.join(mixed, "a").join(faces.select(F.col("cls").alias("b"), "profile"), "b").withColumn("is_major", F.col("label") == F.col("major"))
     own = F.pmod(F.xxhash64("b"), F.when(F.col("is_major"), F.col("n_major")).otherwise(F.col("n_rest")))
@@ -446,38 +445,69 @@ def _cross(stars: DataFrame, labels: DataFrame, faces: DataFrame) -> DataFrame:
     others = F.sequence(F.lit(0).cast("long"), F.col("n_rest") - 1)
     majors = F.sequence(F.lit(0).cast("long"), F.col("n_major") - 1)
     among = F.transform(others, lambda j: F.when(j >= F.col("own"), place(1, F.col("own"), j, 0)).otherwise(place(1, j, F.col("own"), 1)))
-    places = F.when(F.col("is_major"), F.transform(others, lambda j: place(0, F.col("own"), j, 0))).otherwise(F.concat(F.transform(majors, lambda i: place(0, i, F.col("own"), 1)), among))
-    dealt = rows.select("a", "b", "n", "lo", "hi", "label", "profile", F.explode(places).alias("p")).select("a", "p.kind", "p.i", "p.j", "p.side", "b", "n", "lo", "hi", "label", "profile")
-
-    def run(part: pa.Table) -> pa.Table:
-        side = part.column("side").to_numpy()
-        n, lo, hi = (part.column(c).to_numpy() for c in ("n", "lo", "hi"))
-        raw = part.column("profile").to_pylist()
-        width = min((len(x) for x in raw if x), default=64)
-        prof = np.zeros((len(raw), width), np.int32)
-        known = np.array([bool(x) for x in raw])
-        for r in np.flatnonzero(known):
-            prof[r] = np.frombuffer(raw[r], np.uint8).reshape(width, -1).sum(1)
-        names_, label = np.array(part.column("b").to_pylist(), object), part.column("label").to_pylist()
-        label = np.unique(np.array(label, "S16"), return_inverse=True)[1]
-        same_block = len(side) > 0 and part.column("kind")[0].as_py() == 1 and part.column("i")[0].as_py() == part.column("j")[0].as_py()
-        left = np.arange(len(side)) if same_block else np.flatnonzero(side == 0)
-        right = left if same_block else np.flatnonzero(side == 1)
-        out = [[], []]
-        for x in left.tolist():
-            y = right[right > x] if same_block else right
-            most = (n[x] + n[y]) // 7
-            ok = (label[y] != label[x]) & (abs(n[x] - n[y]) <= most) & (lo[x] - hi[y] <= most) & (lo[y] - hi[x] <= most)
-            y, most = y[ok], most[ok]
-            if len(y):
-                y = y[~(known[x] & known[y]) | (np.abs(prof[y] - prof[x]).sum(1) <= most)]
-            for z in y.tolist():
-                low, high = sorted((names_[x], names_[z]))
-                out[0].append(low)
-                out[1].append(high)
-        return pa.table({"a": pa.array(out[0], pa.binary()), "b": pa.array(out[1], pa.binary())})
-
-    return dealt.groupBy("a", "kind", "i", "j").applyInArrow(run, "a binary, b binary").distinct()
+    dealt_out = F.when(F.col("is_major"), F.transform(others, lambda j: place(0, F.col("own"), j, 1))).otherwise(F.concat(F.transform(majors, lambda i: place(0, i, F.col("own"), 0)), among))
+    places = F.when(F.col("t") <= BLOCK, F.array(place(2, F.lit(0), F.lit(0), 0))).otherwise(dealt_out)
+    dealt = rows.select("a", "b", "n", "lo", "hi", "label", "is_major", "profile", F.explode(places).alias("p")).select("a", "p.kind", "p.i", "p.j", "p.side", "b", "n", "lo", "hi", "label", "is_major", "profile")
+
+    def run(it):
+        """Rows come sorted by block; one block, or pair of blocks, is held at a time."""
+        held, now = [], None
+        for batch in it:
+            keys = list(zip(*[batch.column(i).to_pylist() for i in range(4)], strict=True))
+            cuts = [0, *[k for k in range(1, len(keys)) if keys[k] != keys[k - 1]], len(keys)]
+            for x, y in zip(cuts[:-1], cuts[1:], strict=True):
+                if keys[x] != now and held:
+                    yield from _unrefuted(held, now)
+                    held = []
+                now = keys[x]
+                held.append(batch.slice(x, y - x))
+        if held:
+            yield from _unrefuted(held, now)
+
+    by = ["a", "kind", "i", "j"]
+    return dealt.repartition(*by).sortWithinPartitions(*by).mapInArrow(run, "a binary, b binary").distinct()
+
+
+def _unrefuted(held: list, block: tuple):
+    """Of one block: rows (a, kind, i, j, side, b, n, lo, hi, label, is_major, profile) to pairs of their classes that no bound refutes. Everything left is compared with everything right."""
+    part = pa.Table.from_batches(held)
+    side, n, lo, hi = (part.column(c).to_numpy() for c in ("side", "n", "lo", "hi"))
+    major = part.column("is_major").to_numpy()
+    _, kind, i, j = block
+    one = kind == 2 or (kind == 1 and i == j)
+    left = np.flatnonzero(~major) if one else np.flatnonzero(side == 0)
+    right = np.arange(len(side)) if one else np.flatnonzero(side == 1)
+    label = np.unique(np.array(part.column("label").to_pylist(), "S16"), return_inverse=True)[1]
+    raw = part.column("profile").to_pylist()
+    size = np.array([len(x) for x in raw])
+    row, matrix = np.zeros(len(raw), np.int64), {}
+    for w in np.unique(size).tolist():
+        at = np.flatnonzero(size == w)
+        row[at] = np.arange(len(at))
+        matrix[w] = np.frombuffer(b"".join([raw[k] for k in at.tolist()]), np.uint8).reshape(len(at), w).astype(np.int16)
+    out = [[], []]
+    for x in left.tolist():
+        y = right[major[right] | (right > x)] if one else right
+        most = (n[x] + n[y]) // 7
+        ok = (label[y] != label[x]) & (abs(n[x] - n[y]) <= most) & (lo[x] - hi[y] <= most) & (lo[y] - hi[x] <= most)
+        y, most = y[ok], most[ok]
+        if not len(y):
+            continue
+        near = np.ones(len(y), bool)
+        mine = matrix[size[x]][row[x]]
+        for w in np.unique(size[y]).tolist():
+            if w and size[x]:  # profiles without parts refute nothing
+                at = np.flatnonzero(size[y] == w)
+                wide, fold = matrix[w][row[y[at]]], min(w, int(size[x]))
+                gap_ = np.abs(wide.reshape(len(at), fold, -1).sum(2, dtype=np.int32) - mine.reshape(fold, -1).sum(1, dtype=np.int32)).sum(1)
+                near[at] = gap_ <= most[at]
+        for z in y[near].tolist():
+            out[0].append(x)
+            out[1].append(z)
+    if out[0]:
+        b = part.column("b").to_pylist()
+        pairs = [sorted((b[x], b[z])) for x, z in zip(*out, strict=True)]
+        yield pa.record_batch([pa.array([p[0] for p in pairs], pa.binary()), pa.array([p[1] for p in pairs], pa.binary())], ["a", "b"])
 
 
 def joined(docs: DataFrame, key: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
