@@ -16,15 +16,21 @@ def emissions(steps: DataFrame, seq: str = "seq_id") -> DataFrame:
     return best.withColumn("_last", last).where("cls <> 0 and cls <> _last").drop("_last", "scores")
 
 
-def characters(found: DataFrame, dictionary: list[str]) -> DataFrame:
-    """Adds ch; classes outside the dictionary are question marks."""
-    table = F.array(*[F.lit(c) for c in dictionary])
-    return found.withColumn("ch", F.coalesce(F.get(table, F.col("cls")), F.lit("?")))
+def characters(found: DataFrame, dictionary: DataFrame) -> DataFrame:
+    """Adds ch from dictionary (idx, ch: one row for each class of a model, thousands); classes without a character are question marks."""
+    table = dictionary.select(F.col("idx").cast("int").alias("cls"), F.nullif("ch", F.lit("")).alias("ch"))
+    return found.join(F.broadcast(table), "cls", "left").withColumn("ch", F.coalesce("ch", F.lit("?")))
 
 
-def decode(steps: DataFrame, dictionary: list[str], seq: str = "seq_id") -> DataFrame:
-    """seq and text."""
-    space = max((i for i, c in enumerate(dictionary) if i > 0 and c == " "), default=-1)
+def space_class(dictionary: DataFrame) -> int:
+    """The last class, the blank left out, that is a space; -1 without one."""
+    last = dictionary.where("idx > 0 and ch = ' '").agg(F.max("idx")).first()[0]
+    return -1 if last is None else last
+
+
+def decode(steps: DataFrame, dictionary: DataFrame, seq: str = "seq_id") -> DataFrame:
+    """seq and text; empty for sequences that emit nothing."""
+    space = space_class(dictionary)
     found = characters(emissions(steps, seq), dictionary)
     w = Window.partitionBy(seq).orderBy("t")
     solid = F.ascii("ch").between(33, 126) & (F.length("ch") == 1)
@@ -39,4 +45,5 @@ def decode(steps: DataFrame, dictionary: list[str], seq: str = "seq_id") -> Data
     narrow = ~F.contains(F.lit(WIDE), F.col("ch")) & ~F.contains(F.lit(WIDE), F.col("_before"))
     hit = F.col("gap").isNotNull() & (F.coalesce(narrow & (F.col("gap") >= F.col("cut")), F.lit(False)) | F.coalesce(F.col("p") >= SPACE, F.lit(False)))
     piece = F.concat(F.when(hit, F.lit(" ")).otherwise(F.lit("")), F.col("ch"))
-    return joined.groupBy(seq).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", piece.alias("x")))), lambda e: e["x"]), "").alias("text"))
+    texts = joined.groupBy(seq).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", piece.alias("x")))), lambda e: e["x"]), "").alias("text"))
+    return steps.select(seq).distinct().join(texts, seq, "left").select(seq, F.coalesce("text", F.lit("")).alias("text"))

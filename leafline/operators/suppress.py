@@ -20,17 +20,19 @@ def drop_contained(boxes: DataFrame, page: str = "page", key: str = "box_id") ->
 
 def _greedy(x1, y1, x2, y2, order) -> np.ndarray:
     size = np.maximum(0, x2 - x1) * np.maximum(0, y2 - y1)
+    c = np.stack([x1, y1, x2, y2, size]).astype(np.float64)
+    kept, n = np.empty_like(c), 0  # the boxes kept so far, in the first n columns
     keep = np.zeros(len(x1), bool)
-    kept: list[int] = []
-    for i in order:
-        k = np.array(kept, np.int64)
-        w = np.minimum(x2[i], x2[k]) - np.maximum(x1[i], x1[k])
-        h = np.minimum(y2[i], y2[k]) - np.maximum(y1[i], y1[k])
+    for i in order.tolist():
+        k, b = kept[:, :n], c[:, i]
+        w = np.minimum(b[2], k[2]) - np.maximum(b[0], k[0])
+        h = np.minimum(b[3], k[3]) - np.maximum(b[1], k[1])
         common = np.maximum(0, w) * np.maximum(0, h)
-        union = size[i] + size[k] - common
+        union = b[4] + k[4] - common
         if not ((union > 0) & (2 * common >= union)).any():
             keep[i] = True
-            kept.append(i)
+            kept[:, n] = b
+            n += 1
     return keep
 
 
