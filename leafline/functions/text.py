@@ -65,16 +65,27 @@ def elapsed(ms: Column) -> Column:
     return F.when(s >= 3600, F.concat(h, F.lit(" h "), m, F.lit(" min "), sec, F.lit(" s"))).when(s >= 60, F.concat(m, F.lit(" min "), sec, F.lit(" s"))).otherwise(F.concat(sec, F.lit(" s")))
 
 
+def finite(v: Column) -> Column:
+    """The number, null where it is none or not finite."""
+    return F.when(~F.isnan(v) & (F.abs(v) < F.lit(float("inf"))), v)
+
+
+def number(text: Column) -> Column:
+    """A setting's text as a finite number: blank is 0, what is no number is null."""
+    return F.when(trim(text) == "", F.lit(0.0)).otherwise(finite(trim(text).try_cast("double")))
+
+
 def threshold(v: Column, default: float) -> Column:
-    """A share stored as percent (1 and more), as a share (between 0 and 1), zero kept, null by default."""
+    """A share stored as percent (1 and more), as a share (between 0 and 1), zero kept; the default for null and numbers that are not finite."""
+    v = finite(v)
     return F.when(v.isNull(), F.lit(default)).when(v >= 1, v / 100).when(v > 0, F.floor(v * 100 + 0.5) / 100).otherwise(F.lit(0.0))
 
 
 def preferences(raw: dict[str, Column]) -> dict[str, Column]:
-    """Typed settings from nullable numbers."""
+    """Typed settings from numbers, where null, NaN and infinity mean unset; auto_open, if given, is any type."""
     half_up = lambda x: F.floor(x + 0.5)
-    limit, turn, crop, workers = raw["limit_side"], raw["max_rot"], raw["crop_mode"], raw["workers"]
-    return {
+    limit, turn, crop, workers = (finite(raw[c]) for c in ("limit_side", "max_rot", "crop_mode", "workers"))
+    typed = {
         "limit_side": F.when(limit >= 1, half_up(limit)).otherwise(F.lit(1536)).cast("long"),
         "det_thresh": threshold(raw["det_thresh"], 0.3),
         "box_thresh": threshold(raw["box_thresh"], 0.4),
@@ -82,6 +93,42 @@ def preferences(raw: dict[str, Column]) -> dict[str, Column]:
         "crop_mode": F.when(crop.isin(0.0, 1.0, 2.0), crop).otherwise(F.lit(2)).cast("long"),
         "workers": F.when((workers >= 1) & (workers == F.floor(workers)), F.least(F.lit(8.0), workers)).otherwise(F.lit(4)).cast("long"),
     }
+    if "auto_open" in raw:
+        typed["auto_open"] = F.coalesce(raw["auto_open"], F.lit(False))
+    return typed
+
+
+def effective(own: dict[str, Column], preference: dict[str, Column]) -> dict[str, Column]:
+    """A job's options: its own where it has one, else the preference."""
+    return {k: F.coalesce(own[k], p) if k in own else p for k, p in preference.items()}
+
+
+def clamped(value: Column, low: float, high: float, default: Column | float) -> Column:
+    """A number within bounds; the default for what is no finite number."""
+    v = finite(value)
+    return F.when(v.isNull(), default if isinstance(default, Column) else F.lit(default)).otherwise(F.least(F.lit(float(high)), F.greatest(F.lit(float(low)), v)))
+
+
+def one_of(value: Column, choices: tuple, default: Column | int) -> Column:
+    """A number that is one of the choices, else the default."""
+    v = finite(value)
+    return F.when(v.isin(*[float(c) for c in choices]), v).otherwise(default if isinstance(default, Column) else F.lit(float(default)))
+
+
+def percent(value: Column, default: int) -> Column:
+    """A share as stored (percent, or an older share below 1) as percent; the default for what is no number."""
+    v = F.when(~F.isnan(value), value)
+    return F.when(v.isNull(), F.lit(float(default))).when((v > 0) & (v < 1), F.floor(v * 100 + 0.5)).otherwise(v)
+
+
+def job_name(millis: Column, number: Column) -> Column:
+    """A job's identifier."""
+    return F.concat(F.lit("job-"), millis.cast("string"), F.lit("-"), number.cast("string"))
+
+
+def page_indexes(pages: Column) -> Column:
+    """Pages numbered from 1 as indexes from 0."""
+    return F.transform(pages, lambda p: p - 1)
 
 
 def page_list(spec: Column, n_pages: Column, current: Column) -> Column:

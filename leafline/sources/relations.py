@@ -52,6 +52,11 @@ def steps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(F.floor(F.col("vec_id") / 4).cast("long").alias("seq_id"), ((F.col("vec_id") % 4) * 8 + F.col("i")).cast("long").alias("t"), F.slice("embedding", F.col("i") * 8 + 1, F.lit(8)).alias("scores"))
 
 
+def dictionary(spark: SparkSession) -> DataFrame:
+    """idx, ch of DICTIONARY."""
+    return spark.createDataFrame(list(enumerate(DICTIONARY)), "idx int, ch string")
+
+
 def text_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = load(spark, sf_dir, "documents")
     return d.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "text"))
@@ -65,6 +70,66 @@ def pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return o.groupBy((k % n).alias("page"), (F.floor((k * 7919 + c * 31) / 13) % MAP).alias("y"), (F.floor((c * 104729 + k * 17) / 11) % MAP).alias("x")).agg(F.max(p).alias("p"))
 
 
+#: Width and height of rasters().
+RASTER_W, RASTER_H = 11, 7
+
+
+def rasters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """page, data (RGBA, by arithmetic on page, place and channel), width, height."""
+    page = F.col("page")
+    value = lambda i: (page * 7 + F.floor(i / 4 / RASTER_W) * 31 + F.floor(i / 4) % RASTER_W * 17 + i % 4 * 5 + page * (F.floor(i / 4) % 5)) % 256
+    data = F.unhex(F.array_join(F.transform(F.sequence(F.lit(0), F.lit(4 * RASTER_W * RASTER_H - 1)), lambda i: F.lpad(F.hex(value(i)), 2, "0")), ""))
+    return load(spark, sf_dir, "orders").select((F.col("o_orderkey") % 60).alias("page")).distinct().select("page", data.alias("data"), F.lit(RASTER_W).alias("width"), F.lit(RASTER_H).alias("height"))
+
+
+def maps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sizes and scales of the maps of pixels()."""
+    return pixels(spark, sf_dir).select("page").distinct().select("page", F.lit(MAP).alias("map_w"), F.lit(MAP).alias("map_h"), F.lit(90).alias("width"), F.lit(180).alias("height"), F.lit(0.5).alias("scale_x"), F.lit(0.25).alias("scale_y"))
+
+
+def quads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """page, box_id, points: boxes sheared by up to 40 pixels, some of no height."""
+    lean = F.when(F.col("box_id") % 3 == 0, F.col("box_id") % 81 - 40).otherwise(0)
+    low = F.when(F.col("box_id") % 11 == 0, F.col("y1") + F.col("box_id") % 4).otherwise(F.col("y2"))
+    return boxes(spark, sf_dir).select("page", "box_id", F.array("x1", "y1", "x2", F.col("y1") + lean, "x2", low + lean, "x1", low).alias("points"))
+
+
+def annotations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """item, type, shown, position: regions on pages 0 to 2 in every shape that drawing programs write."""
+    k = F.col("o_orderkey")
+    a, b, c, d = (x.cast("string") for x in (k % 90, F.col("o_custkey") % 70, k % 31 + 5, F.col("o_custkey") % 17 + 9))
+    pair, one, two = F.concat_ws(",", a, b, c, d), F.concat_ws(",", a, b), F.concat_ws(",", c, d)
+    page = F.concat(F.lit('{"pageIndex":'), (k % 3).cast("string"))
+    shapes = [
+        F.concat(page, F.lit(',"rects":[['), pair, F.lit("]]}")),
+        F.concat(page, F.lit(',"paths":[['), pair, F.lit("],["), pair, F.lit(",1,2,7]]}")),
+        F.concat(page, F.lit("}")),
+        F.lit("not json"),
+        F.concat(page, F.lit(',"paths":[{"points":['), one, F.lit('],"lines":[['), two, F.lit(']],"other":[900,900,901,901]}]}')),
+        F.concat(page, F.lit(',"rects":[[[[['), one, F.lit("],["), two, F.lit("]]]]]}")),
+        F.concat(page, F.lit(',"rects":[[[[[['), pair, F.lit("]]]]]]}")),
+        F.concat(page, F.lit(',"rects":['), pair, F.lit('],"paths":[["x",1,2],[1],[null,5,6]]}')),
+    ]
+    shape = F.element_at(F.array(*shapes), (k % 8 + 1).cast("int"))
+    kind = F.element_at(F.array(*[F.lit(x) for x in ("image", "ink", "note")]), (F.col("o_custkey") % 3 + 1).cast("int"))
+    return load(spark, sf_dir, "orders").select(k.alias("key"), (k % 700).alias("item"), kind.alias("type"), (k % 700 % 2 == 0).alias("shown"), shape.alias("position"))
+
+
+def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Requests to eight managed queues."""
+    e = load(spark, sf_dir, "events")
+    k = F.col("event_id")
+    kind = F.when(k % 401 == 0, "cancel_remaining").when(k % 17 == 0, "cancel").when(k % 23 == 0, "cancel_current").otherwise("enqueue")
+    return e.select((F.col("user_id") % 8).alias("queue"), k.alias("seq"), F.floor(F.expr(MICROS.format("ts")) / 1000).cast("long").alias("at"), kind.alias("kind"), F.when(kind == "cancel", k - 8 * (k % 5)).otherwise(k).alias("job_id"), (k % 50).alias("target"), (F.floor(F.col("value")).cast("long") * 1000).alias("duration"), (k % 7 != 0).alias("good"))
+
+
+def streams(spark: SparkSession, sf_dir: str, mark: str) -> DataFrame:
+    """page, place, content: contents() and, on every other page, a stream of one marked block."""
+    c = contents(spark, sf_dir, mark)
+    block = c.where("page % 2 = 0").select("page", F.lit(1).alias("place"), F.lit(f" /{mark} BMC BT (own) Tj ET EMC\n").alias("content"))
+    return c.select("page", F.lit(0).alias("place"), "content").unionByName(block)
+
+
 def log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Job events."""
     e = load(spark, sf_dir, "events")
@@ -102,13 +167,18 @@ def selection(spark: SparkSession, sf_dir: str) -> DataFrame:
     return items(spark, sf_dir).where(F.floor(F.col("id") / 2) % 2 == 1).select("id")
 
 
+_NAN, _INF = float("nan"), float("inf")
+#: Values of each setting as stored.
+SETTINGS = [(None, 0, -5, 0.5, 1536, 2048.5, 1, _NAN, _INF), (None, 0, 30, 1, 0.255, 150, -2, 0.3, _NAN, -_INF, _INF), (40, None, 0, 0.4, 1, _NAN), (None, 0, 200, -5, 30.5, 45, _NAN, _INF, -_INF), (0, 1, 2, 3, None, 1.5, _NAN), (4, 2.5, 99, 0, None, 8, _INF, _NAN)]
+
+
 def raw_settings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Settings as stored: null, negative, zero, fractions, one and large numbers."""
+    """Settings as stored: null, negative, zero, fractions, one, large numbers, none and infinity."""
     k = F.col("p_partkey")
     pick = lambda i, values: F.element_at(F.array(*[F.lit(v).cast("double") for v in values]), ((k * i) % len(values) + 1).cast("int"))
     return load(spark, sf_dir, "part").select(
-        "p_partkey", pick(1, (None, 0, -5, 0.5, 1536, 2048.5, 1)).alias("limit_side"), pick(3, (None, 0, 30, 1, 0.255, 150, -2, 0.3)).alias("det_thresh"), pick(5, (40, None, 0, 0.4, 1)).alias("box_thresh"),
-        pick(7, (None, 0, 200, -5, 30.5, 45)).alias("max_rot"), pick(11, (0, 1, 2, 3, None, 1.5)).alias("crop_mode"), pick(13, (4, 2.5, 99, 0, None, 8)).alias("workers"),
+        "p_partkey", pick(1, SETTINGS[0]).alias("limit_side"), pick(3, SETTINGS[1]).alias("det_thresh"), pick(5, SETTINGS[2]).alias("box_thresh"),
+        pick(7, SETTINGS[3]).alias("max_rot"), pick(11, SETTINGS[4]).alias("crop_mode"), pick(13, SETTINGS[5]).alias("workers"),
     )
 
 
