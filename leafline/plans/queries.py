@@ -7,12 +7,16 @@ from pyspark.sql import functions as F
 
 from leafline.functions import geometry as G
 from leafline.functions import text as T
-from leafline.operators import catalog, decode, frames, jobs, order, overlay, raster, suppress
+from leafline.operators import catalog, decode, detect, frames, jobs, order, overlay, raster, region, suppress
 from leafline.session import load
 from leafline.sources import files
 from leafline.sources import relations as R
 
 B = ["page", "box_id"]
+#: Pixels of a page.
+PAGE_HEIGHT = 1600
+#: Least score of detected boxes: between thousandths, so that the order of a sum decides nothing.
+SCORE = 0.2000001
 ALL = {}
 
 
@@ -97,12 +101,14 @@ def interval_union(s, sf):
     return frames.covered_lengths(R.boxes(s, sf).select("page", F.col("x1").alias("s"), F.col("x2").alias("e")), ["page"])
 
 
+def _written(s, sf):
+    """Claimed boxes that recognition returned."""
+    return _claimed(s, sf).join(_read(s, sf).where("text is not null").select(*B), B, "left_semi")
+
+
 @query
 def frame_partition(s, sf):
-    c = _claimed(s, sf)
-    inside, outside = c.where("frame_id >= 0"), c.where("frame_id < 0")
-    both = inside.select(*B, F.lit("in").alias("cls")).unionByName(outside.select(*B, F.when(F.col("score") < 0.4, "norec").otherwise("out").alias("cls")))
-    return both
+    return region.marks(_claimed(s, sf), _written(s, sf))
 
 
 @query
@@ -148,18 +154,18 @@ def top8_suspects(s, sf):
 
 @query
 def rescue_pad_scale(s, sf):
-    p = G.padded(G.box(), F.lit(R.WIDTH), F.lit(1600))
+    p = G.padded(G.box(), F.lit(R.WIDTH), F.lit(PAGE_HEIGHT))
     return R.boxes(s, sf).where("score < 0.1").select(*B, *[G.scaled(c, F.lit(2)).alias(f"p_{k}") for k, c in p.items()])
 
 
 @query
 def ctc_collapse(s, sf):
-    return decode.characters(decode.emissions(R.steps(s, sf)), R.DICTIONARY)
+    return decode.characters(decode.emissions(R.steps(s, sf)), R.dictionary(s)).select("seq_id", "t", "cls", "ch")
 
 
 @query
 def ctc_spaces(s, sf):
-    return decode.decode(R.steps(s, sf), R.DICTIONARY)
+    return decode.decode(R.steps(s, sf), R.dictionary(s))
 
 
 @query
@@ -275,7 +281,7 @@ def placement(s, sf):
 
 @query
 def marker_strip(s, sf):
-    return overlay.strip(R.contents(s, sf, overlay.MARK)).select("page", "stripped", "found")
+    return overlay.strip(R.contents(s, sf, overlay.MARK), ["page"])
 
 
 @query
@@ -311,11 +317,15 @@ def attach_parent(s, sf):
 
 @query
 def annotation_bbox(s, sf):
-    k = F.col("o_orderkey")
-    c = [x.cast("string") for x in (k % 90, F.col("o_custkey") % 70, k % 31 + 5, F.col("o_custkey") % 17 + 9)]
-    pair = F.concat(c[0], F.lit(","), c[1], F.lit(","), c[2], F.lit(","), c[3])
-    js = F.when(k % 4 == 0, F.concat(F.lit('{"rects":[['), pair, F.lit("]]}"))).when(k % 4 == 1, F.concat(F.lit('{"paths":[['), pair, F.lit("],["), pair, F.lit(",1,2]]}"))).when(k % 4 == 2, "{}").otherwise("not json")
-    return load(s, sf, "orders").select("o_orderkey", files.position_box(js).alias("b")).where("b is not null").select("o_orderkey", "b.x1", "b.y1", "b.x2", "b.y2")
+    return R.annotations(s, sf).select("key", files.position_box(F.col("position")).alias("b")).where("b is not null").select("key", "b.x1", "b.y1", "b.x2", "b.y2")
+
+
+@query
+def page_regions(s, sf):
+    """Regions of an item's current page, shown annotations before stored ones."""
+    a = R.annotations(s, sf)
+    current = a.select("item").distinct().withColumn("page", F.col("item") % 3)
+    return files.regions(a.where("shown"), a, current)
 
 
 @query
@@ -403,10 +413,168 @@ def active_jobs(s, sf):
 
 @query
 def upright_boxes(s, sf):
-    area = (F.col("x2") - F.col("x1") + 1) * (F.col("y2") - F.col("y1") + 1)
-    b = raster.box_scores(component_stats(s, sf), R.pixels(s, sf)).withColumn("score", F.round(F.col("score") * area * 1000).cast("long").cast("double") / (area * 1000))
-    u = G.upright_box(G.box(), F.col("score"), F.lit(0.5), F.lit(0.25), F.lit(90), F.lit(180))
-    return b.where("score >= 0.2").select("page", "comp", *[c.alias(f"u_{k}") for k, c in u.items()])
+    """Detection in mode BOXES."""
+    b = detect.boxes(R.pixels(s, sf), R.maps(s, sf), mode=detect.BOXES, box_threshold=SCORE)
+    return b.select("page", "comp", *[F.get("points", F.lit(i)).alias(f"p{i}") for i in (0, 1, 4, 5)], "x1", "y1", "x2", "y2", F.round("score", 9).alias("score"))
+
+
+@query
+def det_boxes(s, sf):
+    """Detection in mode MIXED."""
+    b = detect.boxes(R.pixels(s, sf), R.maps(s, sf), box_threshold=SCORE)
+    return b.select("page", "comp", F.array_join(F.col("points").cast("array<string>"), ",").alias("points"), "x1", "y1", "x2", "y2", F.round("score", 9).alias("score"))
+
+
+@query
+def det_tensor(s, sf):
+    """Cells of the tensors of small rasters, resized to five by four."""
+    t = raster.tensors(R.rasters(s, sf).withColumns({"to_width": F.lit(5), "to_height": F.lit(4)}))
+    cells = lambda batches: (_cells(pdf) for pdf in batches)
+    return t.mapInPandas(cells, "page long, plane int, y int, x int, v double").withColumn("v", F.round("v", 5))
+
+
+def _cells(pdf):
+    import numpy as np
+    import pandas as pd
+
+    out = []
+    for r in pdf.itertuples(index=False):
+        v = np.frombuffer(r.tensor, np.float32).reshape(3, r.tensor_height, r.tensor_width)
+        plane, y, x = (i.reshape(-1) for i in np.indices(v.shape))
+        out.append(pd.DataFrame({"page": r.page, "plane": plane, "y": y, "x": x, "v": v.reshape(-1).astype(float)}))
+    return pd.concat(out) if out else pd.DataFrame({"page": [], "plane": [], "y": [], "x": [], "v": []})
+
+
+@query
+def crop_lines(s, sf):
+    """Cells of crops from small rasters, copied or sampled along a quad that leaves the raster."""
+    page = F.col("page")
+    quad = F.array(*[x.cast("long") for x in (page % 5 - 2, page % 3, page % 5 + 6, page % 3 + page % 4, page % 5 + 5, page % 4 + 6, page % 5 - 3, F.lit(6))])
+    plan = detect.reading_plan(R.rasters(s, sf).select("page", quad.alias("points")))
+    t = raster.line_tensors(R.rasters(s, sf), plan.withColumn("width", F.lit(6)).select("page", "points", "warp", "crop_x", "crop_y", "crop_width", "crop_height", "width"), line_height=4)
+    cells = lambda batches: (_cells(pdf) for pdf in batches)
+    return t.mapInPandas(cells, "page long, plane int, y int, x int, v double").withColumn("v", F.round("v", 5))
+
+
+@query
+def reading_plan(s, sf):
+    """Crops of sheared quads."""
+    return detect.reading_plan(R.quads(s, sf)).select(*B, "warp", "crop_x", "crop_y", "crop_width", "crop_height", "width")
+
+
+def _plan(s, sf):
+    """A plan's inputs: what recognition returns at first, of suspects and of rescued lines, for any box."""
+    b = R.boxes(s, sf)
+    first = _read(s, sf).where("trim(text) <> '' and box_id % 7 <> 0").select(*B, "text")
+    again = catalog.first_per(b.where("box_id % 2 = 0").select("page", "x1", "y1", F.repeat(F.lit("z"), (F.col("box_id") % 13).cast("int")).alias("text")), ["page", "x1", "y1"], ["text"])
+    p = {k: G.scaled(c, F.lit(2)) for k, c in G.padded(G.box(), F.lit(R.WIDTH), F.lit(PAGE_HEIGHT)).items()}
+    rescued = catalog.first_per(b.where("box_id % 3 > 0").select("page", p["x1"].alias("x1"), p["y1"].alias("y1"), F.concat(F.lit("r"), F.col("box_id").cast("string")).alias("text")), ["page", "x1", "y1"], ["text"])
+    return b, R.frames(s, sf), first, again, rescued, R.WIDTH, PAGE_HEIGHT, 2.0
+
+
+@query
+def region_lines(s, sf):
+    """The lines of pages with frames: first readings, second readings, rescues."""
+    b, f, first, again, rescued, w, h, ratio = _plan(s, sf)
+    return region.lines(frames.claim(b, f), first, again, rescued, F.lit(w), F.lit(h), F.lit(ratio)).select(*B, "origin", "text", "frame_id")
+
+
+@query
+def region_plan(s, sf):
+    return region.plan(*_plan(s, sf), two_column=True).select(*B, "origin", "text", "frame_id", "seq")
+
+
+@query
+def region_counters(s, sf):
+    b, f, first, again, rescued, w, h, ratio = _plan(s, sf)
+    claimed = frames.claim(b, f)
+    return region.counters(claimed, region.lines(claimed, first, again, rescued, F.lit(w), F.lit(h), F.lit(ratio)))
+
+
+@query
+def frame_fallback(s, sf):
+    """Pages with frames of odd numbers, and those read whole."""
+    drawn, whole = region.page_frames(R.boxes(s, sf).select("page").distinct(), R.frames(s, sf).where("page % 2 = 1"))
+    return drawn.withColumn("whole", F.lit(False)).unionByName(whole.withColumn("whole", F.lit(True)))
+
+
+@query
+def text_layer(s, sf):
+    """Runs of a layer: pages of odd numbers have regions, every fifth page is not in the document."""
+    text = F.when(F.col("box_id") % 4 == 0, F.concat("text", F.lit("é"), F.col("box_id").cast("string"))).otherwise(F.col("text"))
+    lines = _read(s, sf).withColumn("text", text).withColumn("seq", (F.lit(1000) - F.col("box_id")).cast("int"))
+    lines = lines.withColumns({"page_pixels": F.when(F.col("page") % 7 == 0, 0).otherwise(R.WIDTH), "page_points": F.when(F.col("page") % 3 == 0, 0.0).otherwise(F.lit(700.0))})
+    pages = R.boxes(s, sf).select("page").distinct()
+    document = pages.where("page % 5 > 0").withColumns({"width_pt": F.lit(612.0), "height_pt": F.lit(792.0)})
+    got = overlay.layer(lines, document, pages.where("page % 2 = 1"), R.WIDTH, False)
+    return got.select("page", "seq", "run", "latin", "piece", *[F.round(c, 6).alias(c) for c in ("x", "y", "font_size", "sx", "dx")])
+
+
+@query
+def strip_pages(s, sf):
+    return overlay.strip_pages(R.streams(s, sf, overlay.MARK), load(s, sf, "pages").where("page_id % 3 > 0").select(F.col("page_id").alias("page")))
+
+
+@query
+def strip_counts(s, sf):
+    return overlay.strip_counts(R.streams(s, sf, overlay.MARK))
+
+
+@query
+def total_boxes(s, sf):
+    """Boxes over all pages, from pages that hold arrays of them."""
+    return R.boxes(s, sf).groupBy("page").agg(F.collect_list("box_id").alias("boxes")).agg(F.sum(F.size("boxes")).cast("long").alias("n_boxes"))
+
+
+@query
+def managed_queue(s, sf):
+    return jobs.managed_queue(R.requests(s, sf))
+
+
+@query
+def log_dropped(s, sf):
+    return jobs.dropped(load(s, sf, "events"))
+
+
+@query
+def task_insert(s, sf):
+    e = load(s, sf, "events")
+    known = e.where("event_id % 4 = 0").groupBy((F.col("user_id") % 90).alias("task_id")).agg(F.min("event_id").alias("seq"))
+    return jobs.insert_if_absent(known, e.select((F.col("user_id") % 130).alias("task_id"), F.col("event_id").alias("seq")))
+
+
+@query
+def any_active(s, sf):
+    return jobs.any_active(jobs.states(R.log(s, sf)))
+
+
+@query
+def effective_options(s, sf):
+    """A job's own options before the preferences of its library."""
+    r = R.raw_settings(s, sf)
+    typed = T.preferences({c: F.col(c) for c in r.columns[1:]})
+    own = {"limit_side": F.when(F.col("p_partkey") % 2 == 0, 960), "crop_mode": F.when(F.col("p_partkey") % 3 == 0, 0)}
+    return r.select("p_partkey", *[c.cast(k).alias(n) for (n, c), k in zip(T.effective(own, typed).items(), ("long", "double", "double", "long", "long", "long"), strict=True)])
+
+
+@query
+def form_values(s, sf):
+    """Settings as forms read them."""
+    r = R.raw_settings(s, sf)
+    return r.select("p_partkey", T.clamped(F.col("det_thresh"), 0, 1, 0.3).alias("share"), T.clamped(F.col("max_rot"), 0, 90, 30).alias("degrees"), T.one_of(F.col("crop_mode"), (0, 1, 2), 2).alias("mode"), T.percent(F.when(F.abs("box_thresh") < 1000, F.col("box_thresh")), 40).alias("percent"))
+
+
+@query
+def selection_preview(s, sf):
+    return catalog.preview(R.items(s, sf), R.selection(s, sf)).select("id")
+
+
+@query
+def job_names(s, sf):
+    """Identifiers of new jobs and the page indexes they ask for."""
+    e = load(s, sf, "events")
+    asked = F.array(F.col("event_id") % 9 + 1, F.col("event_id") % 5 + 12)
+    return e.select("event_id", T.job_name(F.floor(F.expr(R.MICROS.format("ts")) / 1000).cast("long"), F.col("event_id") % 10).alias("name"), F.array_join(T.page_indexes(asked).cast("array<string>"), ",").alias("pages"))
 
 
 def queries() -> dict:

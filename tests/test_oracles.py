@@ -39,7 +39,7 @@ def test_oracle(spark, small, duck, name):
 
 
 def test_all_but_custom_have_sql():
-    assert set(ALL) - set(ORACLES) == {"hull_rect"}
+    assert set(ALL) - set(ORACLES) == {"hull_rect", "det_boxes", "managed_queue"}
 
 
 def test_entry(spark):
