@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from leafline.llm import bpe, exact_dedup, mixing, ngram_join, quality_rules
 from leafline.llm.queries import BYTE_BPE, vocabulary
-from leafline.session import cut, load
+from leafline.session import load, scratch
 
 
 def pass_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -47,5 +47,6 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = load(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = cut(stage(spark, docs, sf_dir), f"pipeline-{name.replace(' ', '-')}")
+        with scratch(spark) as keep:  # a stage's own tables go when its result is written
+            docs = keep(stage(spark, docs, sf_dir), f"pipeline-{name.replace(' ', '-')}")
     return STAGES[-1][1](spark, docs, sf_dir)
