@@ -18,7 +18,7 @@ as frequent: the counts, taken over all documents in a first pass, only steer co
 (a few shingles in one segment), the interval gets twice as many segments, until all sets can.
 
 Verification. Equal sets form one class (128-bit sum hash). Classes that share a key are paired with the least of them (the
-center); profiles (shingle counts by part of the hash range, a lower bound of the difference) refute most pairs, the others
+center); profiles (parities of shingle counts by part of the hash range, a lower bound of the difference) refute most pairs, the others
 are verified exactly on whole sets, components are formed, and only the pairs that still lie in different components are
 compared in a second step, cluster by cluster (large ones in blocks): bounds by sizes, profiles and distances to the common
 center refute pairs there before they leave the task. A group of copies costs a star, not all its pairs.
@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 
 from leafline.llm._text import LOWER, batches, mix, owner, span_hashes, string_buffers, window_hashes, words
 from leafline.llm.components import components
-from leafline.session import cut, ship
+from leafline.session import cut, fresh, scratch, ship
 
 U = np.uint64
 SHINGLE = 5
@@ -48,8 +48,8 @@ FREQUENT, MOST_FREQUENT = 16, 200_000
 EIGHTH, EXACT, WIDE = 8, 1.0, 32
 #: Members of a cluster in a block at most, on average; smaller clusters are one block.
 BLOCK = 2048
-#: Shingles in a part of a profile, on average.
-PART = 2
+#: Parts of a profile for each shingle, at least (less than twice as many).
+PARTS = 4
 REGION = U((1 << 32) - (1 << 32) // EIGHTH)
 
 
@@ -176,30 +176,31 @@ class Keys:
 
 
 def profiles(h: np.ndarray, begin: np.ndarray) -> list[bytes]:
-    """How many shingles of each set fall into each of 64 or more equal parts of the hash range, PART to a part at most on average; empty if a count is above 255.
+    """A bit for each part of the hash range (64 or more of them, PARTS to a shingle at least), whether an odd number of a set's shingles fall into it.
 
-    The counts of two sets differ, summed up, by no more than the sets do, so they refute most pairs without the sets.
+    Two sets' profiles differ in no more bits than the sets in shingles, so they refute most pairs without the sets. Parts
+    go by the low bits, so a profile folds to half its length by the exclusive or of its halves.
     """
     size = np.diff(begin)
-    bits = np.maximum(6, np.ceil(np.log2(np.maximum(size, 1) / PART)).astype(np.int64))
+    bits = np.maximum(6, np.ceil(np.log2(np.maximum(size, 1) * PARTS)).astype(np.int64))
     base = np.concatenate([[0], np.cumsum(1 << bits)])
     doc = np.repeat(np.arange(len(size)), size)
-    count = np.bincount((h >> (64 - bits[doc]).astype(np.uint64)).astype(np.int64) + base[doc], minlength=int(base[-1]))
-    raw = np.minimum(count, 255).astype(np.uint8).tobytes()
-    full = np.maximum.reduceat(count, base[:-1]) > 255 if len(size) else []
-    return [b"" if f else raw[a:b] for a, b, f in zip(base[:-1].tolist(), base[1:].tolist(), full, strict=True)]
+    place = (h & ((U(1) << bits[doc].astype(np.uint64)) - U(1))).astype(np.int64) + base[doc]
+    odd = (np.bincount(place, minlength=int(base[-1])) & 1).astype(bool)
+    raw, ends = np.packbits(odd, bitorder="little").tobytes(), base >> 3
+    return [raw[a:b] for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
+
+
+def folded(x: np.ndarray, words_: int) -> np.ndarray:
+    """Profiles (rows of uint64) at a shorter length."""
+    return x if x.shape[-1] == words_ else np.bitwise_xor.reduce(x.reshape(*x.shape[:-1], -1, words_), axis=-2)
 
 
 def gap(pa_: bytes, pb: bytes) -> int:
-    """How far two profiles differ: a lower bound of the sets' distance."""
-    if not pa_ or not pb:
-        return 0
-    x, y = np.frombuffer(pa_, np.uint8).astype(np.int64), np.frombuffer(pb, np.uint8).astype(np.int64)
-    if len(x) > len(y):
-        x, y = y, x
-    if len(x) < len(y):
-        y = y.reshape(len(x), -1).sum(1)
-    return int(np.abs(x - y).sum())
+    """In how many bits two profiles differ: a lower bound of the sets' distance."""
+    x, y = np.frombuffer(pa_, np.uint64), np.frombuffer(pb, np.uint64)
+    short = min(len(x), len(y))
+    return int(np.bitwise_count(folded(x, short) ^ folded(y, short)).sum())
 
 
 def distinct_texts(cls: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -438,7 +439,9 @@ def _cross(stars: DataFrame, labels: DataFrame, faces: DataFrame) -> DataFrame:
     each = placed.groupBy("a", "label").agg(F.count("*").alias("k"))
     whole = each.groupBy("a").agg(F.sum("k").alias("t"), F.max(F.struct("k", "label")).alias("m")).select("a", "t", F.col("m.label").alias("major"), F.ceil(F.col("m.k") / BLOCK).alias("n_major"), (F.col("t") - F.col("m.k")).alias("rest"))
     mixed = whole.where("rest > 0").withColumn("n_rest", F.ceil(F.col("rest") / BLOCK)).drop("rest")
-    rows = placed.join(mixed, "a").join(faces.select(F.col("cls").alias("b"), "profile"), "b").withColumn("is_major", F.col("label") == F.col("major"))
+    # a pair of several clusters is compared in that of the least center
+    centers = stars.groupBy("b").agg(F.array_sort(F.collect_list("a")).alias("centers"))
+    rows = placed.join(mixed, "a").join(centers, "b").join(faces.select(F.col("cls").alias("b"), "profile"), "b").withColumn("is_major", F.col("label") == F.col("major"))
     own = F.pmod(F.xxhash64("b"), F.when(F.col("is_major"), F.col("n_major")).otherwise(F.col("n_rest")))
     rows = rows.withColumn("own", own)
     place = lambda kind, i, j, side: F.struct(F.lit(kind).alias("kind"), i.cast("long").alias("i"), j.cast("long").alias("j"), F.lit(side).alias("side"))
@@ -447,7 +450,7 @@ def _cross(stars: DataFrame, labels: DataFrame, faces: DataFrame) -> DataFrame:
     among = F.transform(others, lambda j: F.when(j >= F.col("own"), place(1, F.col("own"), j, 0)).otherwise(place(1, j, F.col("own"), 1)))
     dealt_out = F.when(F.col("is_major"), F.transform(others, lambda j: place(0, F.col("own"), j, 1))).otherwise(F.concat(F.transform(majors, lambda i: place(0, i, F.col("own"), 0)), among))
     places = F.when(F.col("t") <= BLOCK, F.array(place(2, F.lit(0), F.lit(0), 0))).otherwise(dealt_out)
-    dealt = rows.select("a", "b", "n", "lo", "hi", "label", "is_major", "profile", F.explode(places).alias("p")).select("a", "p.kind", "p.i", "p.j", "p.side", "b", "n", "lo", "hi", "label", "is_major", "profile")
+    dealt = rows.select("a", "b", "n", "lo", "hi", "label", "is_major", "profile", "centers", F.explode(places).alias("p")).select("a", "p.kind", "p.i", "p.j", "p.side", "b", "n", "lo", "hi", "label", "is_major", "profile", "centers")
 
     def run(it):
         """Rows come sorted by block; one block, or pair of blocks, is held at a time."""
@@ -465,11 +468,11 @@ def _cross(stars: DataFrame, labels: DataFrame, faces: DataFrame) -> DataFrame:
             yield from _unrefuted(held, now)
 
     by = ["a", "kind", "i", "j"]
-    return dealt.repartition(*by).sortWithinPartitions(*by).mapInArrow(run, "a binary, b binary").distinct()
+    return dealt.repartition(*by).sortWithinPartitions(*by).mapInArrow(run, "a binary, b binary")
 
 
 def _unrefuted(held: list, block: tuple):
-    """Of one block: rows (a, kind, i, j, side, b, n, lo, hi, label, is_major, profile) to pairs of their classes that no bound refutes. Everything left is compared with everything right."""
+    """Of one block: rows (a, kind, i, j, side, b, n, lo, hi, label, is_major, profile, centers) to pairs of their classes that no bound refutes and whose least common center is the block's. Everything left is compared with everything right."""
     part = pa.Table.from_batches(held)
     side, n, lo, hi = (part.column(c).to_numpy() for c in ("side", "n", "lo", "hi"))
     major = part.column("is_major").to_numpy()
@@ -484,8 +487,15 @@ def _unrefuted(held: list, block: tuple):
     for w in np.unique(size).tolist():
         at = np.flatnonzero(size == w)
         row[at] = np.arange(len(at))
-        matrix[w] = np.frombuffer(b"".join([raw[k] for k in at.tolist()]), np.uint8).reshape(len(at), w).astype(np.int16)
-    out = [[], []]
+        matrix[w] = np.frombuffer(b"".join([raw[k] for k in at.tolist()]), np.uint64).reshape(len(at), w // 8)
+    centers, center, out = part.column("centers"), block[0], [[], []]
+    known: dict[int, set] = {}
+
+    def of(k: int) -> set:
+        if k not in known:
+            known[k] = set(centers[k].as_py())
+        return known[k]
+
     for x in left.tolist():
         y = right[major[right] | (right > x)] if one else right
         most = (n[x] + n[y]) // 7
@@ -496,14 +506,13 @@ def _unrefuted(held: list, block: tuple):
         near = np.ones(len(y), bool)
         mine = matrix[size[x]][row[x]]
         for w in np.unique(size[y]).tolist():
-            if w and size[x]:  # profiles without parts refute nothing
-                at = np.flatnonzero(size[y] == w)
-                wide, fold = matrix[w][row[y[at]]], min(w, int(size[x]))
-                gap_ = np.abs(wide.reshape(len(at), fold, -1).sum(2, dtype=np.int32) - mine.reshape(fold, -1).sum(1, dtype=np.int32)).sum(1)
-                near[at] = gap_ <= most[at]
+            at = np.flatnonzero(size[y] == w)
+            short = min(w, int(size[x])) // 8
+            near[at] = np.bitwise_count(folded(matrix[w][row[y[at]]], short) ^ folded(mine, short)).sum(1, dtype=np.int64) <= most[at]
         for z in y[near].tolist():
-            out[0].append(x)
-            out[1].append(z)
+            if min(of(x) & of(z)) == center:
+                out[0].append(x)
+                out[1].append(z)
     if out[0]:
         b = part.column("b").to_pylist()
         pairs = [sorted((b[x], b[z])) for x, z in zip(*out, strict=True)]
@@ -511,8 +520,13 @@ def _unrefuted(held: list, block: tuple):
 
 
 def joined(docs: DataFrame, key: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
-    """(key, cls, n, component for every row; links between classes as a, b as far as they were needed to form components)."""
+    """(key, cls, n, component for every row; links between classes as a, b as far as they were needed to form components). Both are written to the shared folder, all tables between are removed."""
     ship(docs.sparkSession)
+    with scratch(docs.sparkSession) as keep:
+        return _joined(docs, key, text, keep)
+
+
+def _joined(docs: DataFrame, key: str, text: str, keep) -> tuple[DataFrame, DataFrame]:
     first = _first_pass(docs, key, text)
     rows = first.where("cls is not null").select("key", "cls", "n")
     extra = np.zeros(64, np.int64)
@@ -540,12 +554,13 @@ def joined(docs: DataFrame, key: str = "doc_id", text: str = "text") -> tuple[Da
     named = rows.join(found.withColumnRenamed("node", "cls"), "cls", "left").withColumn("label", F.coalesce("label", "cls"))
     least = named.where("n > 0").groupBy("label").agg(F.min("key").alias("component"))
     out = named.join(least, "label", "left").select("key", "cls", "n", F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("key")).alias("component"))
-    return out, links
+    return keep(out, "shingle-components"), keep(links, "shingle-links")
 
 
 def representatives(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows whose document names its component: one of each group of near copies, with all columns. Documents without words all stay; of rows that repeat identifier and text, one stays."""
+    """The rows whose document names its component: one of each group of near copies, with all columns, whatever their names. Documents without words all stay; of rows that repeat identifier and text, one stays."""
     out, _ = joined(docs, key, text)
-    stay = out.where(F.col("key").eqNullSafe(F.col("component"))).select(F.col("key").alias("_stay")).distinct()
-    kept = docs.join(stay, F.col(key).eqNullSafe(F.col("_stay")), "left_semi")
-    return kept.withColumn("_h", F.xxhash64(F.coalesce(F.col(text), F.lit("")))).dropDuplicates([key, "_h"]).select(*docs.columns)
+    own, same = fresh(docs.columns, "stay", "same")
+    stay = out.where(F.col("key").eqNullSafe(F.col("component"))).select(F.col("key").alias(own)).distinct()
+    kept = docs.join(stay, F.col(key).eqNullSafe(F.col(own)), "left_semi")
+    return kept.withColumn(same, F.xxhash64(F.coalesce(F.col(text), F.lit("")))).dropDuplicates([key, same]).select(*docs.columns)
