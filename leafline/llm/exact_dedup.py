@@ -9,7 +9,10 @@ least and the greatest chunk there are equal, which is aggregated map-side first
 partial row for each task. Members of groups that fail the comparison are told apart by SHA-256 of the whole text.
 
 Defined results: null equals empty; null identifiers are smaller than others; of rows that repeat the staying row, one
-stays; an empty table gives no rows.
+stays; other columns pass through dedup() under any name; an empty table gives no rows.
+
+Skew: a group that holds more than a thousandth of all rows is met by broadcast (there are fewer than a thousand), so its
+rows stay where they are.
 """
 
 from __future__ import annotations
@@ -22,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from leafline.llm._text import LOWER, batches, string_buffers
-from leafline.session import cut, ship
+from leafline.session import cut, fresh, ship
 
 #: Two primes below 2**31 and a base for each: products fit 64 bits.
 MODULI, BASES = (2147483647, 2147483629), (1000003019, 879190841)
@@ -105,40 +108,65 @@ def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", modul
     return cut(small.unionByName(large).withColumn("row", F.monotonically_increasing_id()), "fingerprints")
 
 
-def compared(docs: DataFrame, prints: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+#: A group of more rows than all rows divided by this is hot; so there are fewer hot groups than this, which are broadcast.
+HOT = 1000
+PRINT = ["size", "f1", "f2"]
+
+
+def repeated(prints: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(groups of several rows as size, f1, f2, n, last: the largest key and its row; those of them that are hot)."""
+    many = cut(prints.groupBy(*PRINT).agg(F.count("*").alias("n"), F.max(F.struct("key", "row")).alias("last")).where("n > 1"), "repeated-prints")
+    total = prints.count()
+    return many, many.where(F.col("n") * HOT > total)
+
+
+def by_group(rows: DataFrame, groups_: DataFrame, hot: DataFrame, on: list[str], how: str) -> DataFrame:
+    """rows joined with groups_ (one row each) so that no task gets a hot group whole: rows of hot groups, fewer than HOT, meet them by broadcast where they are; the others are shuffled."""
+    there = F.broadcast(hot.select(*PRINT))
+    at_once = rows.join(there, PRINT, "left_semi").join(F.broadcast(groups_.join(there, PRINT, "left_semi")), on, how)
+    rest = rows.join(there, PRINT, "left_anti").join(groups_.join(there, PRINT, "left_anti"), on, how)
+    return at_once.unionByName(rest)
+
+
+def compared(docs: DataFrame, prints: DataFrame, many: DataFrame, hot: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """size, f1, f2 of groups of several rows whose texts are not all equal: chunkwise comparison of the texts themselves."""
-    many = prints.groupBy("size", "f1", "f2").agg(F.count("*").alias("n")).where("n > 1").drop("n")
-    members = prints.join(many, ["size", "f1", "f2"], "left_semi").select(F.col("key").alias("_key"), "size", "f1", "f2", "sha256").distinct()
+    members = by_group(prints, many.select(*PRINT), hot, PRINT, "left_semi").select(F.col("key").alias("_key"), *PRINT, "sha256").distinct()
     texts = docs.select(F.col(key).alias("_k"), F.to_binary(normal(F.col(text)), F.lit("utf-8")).alias("raw"))
     texts = texts.withColumn("_size", F.octet_length("raw").cast("long"))
     joined = texts.join(members, F.col("_k").eqNullSafe(F.col("_key")) & (F.col("_size") == F.col("size")))
     step = 16 * CHUNK
     last = F.floor(F.greatest(F.lit(0), F.col("size") - 1) / step)
-    chunks = joined.select("size", "f1", "f2", F.posexplode(F.transform(F.sequence(F.lit(0), last), lambda i: F.substring(F.col("raw"), (i * step + 1).cast("int"), F.lit(step)))).alias("pos", "part"))
-    spread = chunks.groupBy("size", "f1", "f2", "pos").agg(F.min("part").alias("lo"), F.max("part").alias("hi"))
-    return spread.where("lo <> hi").select("size", "f1", "f2").distinct()
+    chunks = joined.select(*PRINT, F.posexplode(F.transform(F.sequence(F.lit(0), last), lambda i: F.substring(F.col("raw"), (i * step + 1).cast("int"), F.lit(step)))).alias("pos", "part"))
+    spread = chunks.groupBy(*PRINT, "pos").agg(F.min("part").alias("lo"), F.max("part").alias("hi"))
+    return spread.where("lo <> hi").select(*PRINT).distinct()
 
 
 def groups(docs: DataFrame, key: str = "doc_id", text: str = "text", moduli: tuple = MODULI, huge: int = HUGE) -> DataFrame:
     """For every row: key, keep_key (largest key of its group), group_size, kept, sha256."""
     prints = fingerprints(docs, key, text, moduli, huge)
-    split = compared(docs, prints, key, text).withColumn("_split", F.lit(True))
-    marked = prints.join(split, ["size", "f1", "f2"], "left").withColumn("sub", F.when(F.col("_split"), F.col("sha256")).otherwise(F.lit(""))).drop("_split")
-    by = ["size", "f1", "f2", "sub"]
-    agg = marked.groupBy(*by).agg(F.max(F.struct("key", "row")).alias("last"), F.count("*").alias("group_size")).where("group_size > 1")
-    alone = F.col("group_size").isNull()
-    return marked.join(agg, by, "left").select(
+    many, hot = repeated(prints)
+    split = cut(compared(docs, prints, many, hot, key, text), "split-prints")
+    if split.isEmpty():  # no two texts share a fingerprint by chance
+        marked, agg, by = prints, many, PRINT
+    else:
+        there = by_group(prints, split.withColumn("_split", F.lit(True)), hot, PRINT, "left")
+        marked = there.withColumn("sub", F.when(F.col("_split"), F.col("sha256")).otherwise(F.lit(""))).drop("_split")
+        by = [*PRINT, "sub"]
+        agg = marked.groupBy(*by).agg(F.count("*").alias("n"), F.max(F.struct("key", "row")).alias("last")).where("n > 1")
+    alone = F.col("n").isNull()
+    return by_group(marked, agg, hot, by, "left").select(
         "key",
         F.when(alone, F.col("key")).otherwise(F.col("last.key")).alias("keep_key"),
-        F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"),
+        F.coalesce("n", F.lit(1)).cast("long").alias("group_size"),
         (alone | (F.col("last.row") == F.col("row"))).alias("kept"),
         "sha256",
     )
 
 
 def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows that stay, with all their columns."""
-    kept = groups(docs, key, text).where("kept").select(F.col("key").alias("_keep_key"), F.col("sha256").alias("_keep_sha"))
-    named = docs.withColumn("_sha", F.sha2(normal(F.col(text)), 256))
-    stay = named.join(kept, F.col(key).eqNullSafe(F.col("_keep_key")) & (F.col("_sha") == F.col("_keep_sha")), "left_semi")
-    return stay.dropDuplicates([key, "_sha"]).select(*docs.columns)
+    """The rows that stay, with all their columns, whatever their names."""
+    own, sha, mine = fresh(docs.columns, "keep_key", "keep_sha", "sha")
+    kept = groups(docs, key, text).where("kept").select(F.col("key").alias(own), F.col("sha256").alias(sha))
+    named = docs.withColumn(mine, F.sha2(normal(F.col(text)), 256))
+    stay = named.join(kept, F.col(key).eqNullSafe(F.col(own)) & (F.col(mine) == F.col(sha)), "left_semi")
+    return stay.dropDuplicates([key, mine]).select(*docs.columns)
