@@ -12,7 +12,7 @@ all rows is dealt over many tasks. The place where the budget ends is found by n
 the offers of the last narrow interval are ordered in one task, and documents with texts move only in mix().
 
 Defined results: null text has size 0 and is never taken; null sources form the last source; repeated rows count each;
-an empty table gives no rows; a source without words has target 0.
+an empty table gives no rows; a source without words has target 0; other columns pass through mix() under any name.
 """
 
 from __future__ import annotations
@@ -23,9 +23,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from leafline.llm._text import batches, string_buffers, words
-from leafline.session import cut, ship
+from leafline.session import cut, fresh, ship
 
 WEIGHTS, SHARE, MOST = (3, 1, 2), 1.5, 2
+#: Identical rows that are offered side by side; a source's rows that are equal in identifier and all columns beyond this are spread like others.
+PIECE = 64
+#: A row that is repeated in more than one of so many rows of the table is hot in mix(); so there are fewer hot rows than this.
+HOT = 1000
 #: Rows of a source in a hash bucket, on average; offers that are ordered in one task at most (but for equal finish times).
 BUCKET_ROWS, LAST_OFFERS, BINS = 2048, 20_000, 2048
 
@@ -66,8 +70,11 @@ def targets(totals: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, m
 def plan(docs: DataFrame, key: str = "doc_id", source: str = "source", text: str = "text", seed: int = 7, weights: tuple = WEIGHTS, share: float = SHARE, most: int = MOST) -> DataFrame:
     """key, h (hash of the whole row), size, source_size, target, copies (how often it is taken), first_finish for every row."""
     rows = sizes(docs, [F.col(key).alias("key"), F.col(source).cast("string").alias("source"), F.xxhash64(*docs.columns).alias("h")], text)
-    rows = cut(rows.withColumn("u", F.xxhash64(F.lit(seed), "key", "h")), "mix-sizes")
-    totals = cut(targets(rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n_rows")), weights, share, most), "mix-targets")
+    # identical rows become one row with their number, then pieces of it, each with a place of its own
+    same = cut(rows.groupBy("key", "source", "h", "size").agg(F.count("*").alias("m")), "mix-sizes")
+    pieces = same.select("key", "source", "h", "size", "m", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("m") - 1) / PIECE))).alias("piece"))
+    rows = pieces.withColumns({"c": F.least(F.lit(PIECE).cast("long"), F.col("m") - F.col("piece") * PIECE), "u": F.xxhash64(F.lit(seed), "key", "h", "piece")})
+    totals = cut(targets(same.groupBy("source").agg(F.sum(F.col("size") * F.col("m")).alias("source_size"), F.sum("m").alias("n_rows")), weights, share, most), "mix-targets")
     budget = totals.agg(F.sum("source_size")).first()[0] or 0
     # F.broadcast is for tables of one row per source up to this many; beyond that Spark chooses
     named = totals.withColumn("n_buckets", F.ceil(F.col("n_rows") / BUCKET_ROWS)).withColumnRenamed("source", "_source")
@@ -75,20 +82,22 @@ def plan(docs: DataFrame, key: str = "doc_id", source: str = "source", text: str
         named = F.broadcast(named)
     unit = F.shiftrightunsigned("u", 11) / F.lit(float(1 << 53))
     r = rows.join(named, F.col("source").eqNullSafe(F.col("_source"))).withColumn("bucket", F.floor(unit * F.col("n_buckets"))).drop("_source", "n_rows", "n_buckets")
-    sums = r.groupBy("rank", "bucket").agg(F.sum("size").alias("_s"))
+    words_ = F.col("size") * F.col("c")
+    sums = r.groupBy("rank", "bucket").agg(F.sum(words_).alias("_s"))
     before = sums.select("rank", "bucket", (F.sum("_s").over(Window.partitionBy("rank").orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)) - F.col("_s")).alias("_before"))
-    inside = Window.partitionBy("rank", "bucket").orderBy("u", "key", "h").rowsBetween(Window.unboundedPreceding, 0)
-    r = r.withColumn("_own", F.sum("size").over(inside)).join(before, ["rank", "bucket"])
-    cumulated = F.col("_before") + F.col("_own")
+    inside = Window.partitionBy("rank", "bucket").orderBy("u", "key", "h", "piece").rowsBetween(Window.unboundedPreceding, 0)
+    r = r.withColumn("_own", F.sum(words_).over(inside) - words_).join(before, ["rank", "bucket"])
+    r = r.withColumn("_i", F.explode(F.sequence(F.lit(1).cast("long"), F.col("c"))))
+    cumulated = F.col("_before") + F.col("_own") + F.col("_i") * F.col("size")
     r = r.withColumn("finish", F.transform(F.sequence(F.lit(0), F.lit(most - 1)), lambda e: (e * F.col("source_size") + cumulated) / F.col("target")))
-    r = cut(r.select("key", "h", "source", "rank", "size", "source_size", "target", F.when((F.col("size") > 0) & (F.col("target") > 0), F.col("finish")).alias("finish")), "mix-finish")
+    r = cut(r.select("key", "h", "m", "piece", "source", "rank", "size", "source_size", "target", F.when((F.col("size") > 0) & (F.col("target") > 0), F.col("finish")).alias("finish")), "mix-finish")
     last = _last_taken(r, share * budget)
     if last is None:
         copies = F.lit(0)
     else:
         at, rank = last
         copies = F.size(F.filter(F.coalesce("finish", F.array().cast("array<double>")), lambda f: (f < F.lit(at)) | ((f == F.lit(at)) & (F.col("rank") <= rank))))
-    return r.select("key", "h", "source", "size", "source_size", "target", copies.alias("copies"), F.element_at("finish", 1).alias("first_finish"), "finish")
+    return r.select("key", "h", "m", "piece", "source", "size", "source_size", "target", copies.alias("copies"), F.element_at("finish", 1).alias("first_finish"), "finish")
 
 
 def _last_taken(r: DataFrame, budget: float) -> tuple[float, int] | None:
@@ -125,11 +134,17 @@ def _last_taken(r: DataFrame, budget: float) -> tuple[float, int] | None:
 
 
 def mix(docs: DataFrame, **options) -> DataFrame:
-    """The taken documents, repeats included, with all their columns, range-sorted by virtual finish time."""
-    key = options.get("key", "doc_id")
-    p = plan(docs, **options).where("copies > 0").select(F.col("key").alias("_key"), F.col("h").alias("_h"), F.slice("finish", F.lit(1), F.col("copies")).alias("_finish"))
-    p = p.groupBy("_key", "_h").agg(F.flatten(F.collect_list("_finish")).alias("_finish"))
-    cols = docs.columns
-    named = docs.withColumn("_row_h", F.xxhash64(*cols)).dropDuplicates([key, "_row_h"])
-    out = named.join(p, F.col(key).eqNullSafe(F.col("_key")) & (F.col("_row_h") == F.col("_h"))).select(*cols, F.explode("_finish").alias("_at"))
-    return out.repartitionByRange("_at").sortWithinPartitions("_at").select(*cols)
+    """The taken documents, repeats included, with all their columns, whatever their names, range-sorted by virtual finish time."""
+    key, cols = options.get("key", "doc_id"), docs.columns
+    own, h, at, salt = fresh(cols, "mix_key", "mix_h", "mix_at", "mix_salt")
+    p = plan(docs, **options).where("copies > 0").select(F.col("key").alias(own), F.col("h").alias(h), "m", "piece", F.slice("finish", F.lit(1), F.col("copies")).alias("finish"))
+    # one row of the table stands for all that are identical; those of hot rows are dealt over copies of it
+    total = docs.count()
+    hot = F.broadcast(p.where(F.col("m") * HOT > total).select(own, h, F.ceil(F.col("m") / PIECE).alias("n")).distinct().withColumn("n", F.least(F.lit(HOT).cast("long"), "n")))
+    offers = p.withColumn(salt, F.when(F.col("m") * HOT > total, F.pmod("piece", F.least(F.lit(HOT).cast("long"), F.ceil(F.col("m") / PIECE)))).otherwise(F.lit(0).cast("long")))
+    offers = offers.select(own, h, salt, F.explode("finish").alias(at))
+    mine = fresh([*cols, own, h, at, salt], "mix_row")[0]
+    one = docs.withColumn(mine, F.xxhash64(*cols)).dropDuplicates([key, mine])
+    spread = one.join(hot, F.col(key).eqNullSafe(hot[own]) & (F.col(mine) == hot[h]), "left").select(*cols, mine, F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce(hot["n"] - 1, F.lit(0).cast("long")))).alias("_salt" + salt))
+    out = spread.join(offers, F.col(key).eqNullSafe(F.col(own)) & (F.col(mine) == F.col(h)) & (F.col("_salt" + salt) == F.col(salt))).select(*cols, at)
+    return out.repartitionByRange(at).sortWithinPartitions(at).select(*cols)
