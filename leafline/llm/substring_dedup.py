@@ -7,10 +7,11 @@ In a bucket the windows are sorted by hash; members of a run are compared byte b
 
 Skew: equal super-k-mers inside one slab of a task collapse before the shuffle (all but the earliest are known repeats), so
 a group of copies of any size sends one string for each slab; a minimiser that stays frequent nevertheless, because its
-neighbours differ, is dealt by window instead (its hash comes from an exact count over all data of those above an even
-share of a bucket, so the list is bounded by the number of buckets).
+neighbours differ, is dealt by window instead (its hash comes from an exact count over all data of those above a quarter
+of a bucket's even share, and above one in MOST_HOT, so the list is bounded whatever the input).
 
-Defined results: null text has no words; texts shorter than a window lose nothing; null identifiers count as the smallest;
+Defined results: null text has no words; texts shorter than a window lose nothing; identifiers are integers (else a
+TypeError), null ones count as the smallest;
 rows that repeat identifier and text are one document and get one result each; an empty table gives no rows.
 """
 
@@ -22,14 +23,17 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from leafline.llm._text import SPACE, batches, mix, owner, same_spans, span_hashes, string_buffers, window_hashes, words
-from leafline.session import ship
+from leafline.session import cut, ship
 
 U = np.uint64
 WINDOW, SEED = 20, 3
 #: Bytes of text for each bucket, on average; bytes of text that a task packs at a time.
 BUCKET_BYTES, SLAB = 3 << 20, 5 << 20
+#: Hot minimisers at most: one holds more than this share of all super-k-mers, so at 100 TB a bucket has up to 300 MB besides its own.
+MOST_HOT = 1_000_000
 LEAST = -(1 << 63)
 
 
@@ -167,7 +171,7 @@ def hot_minimisers(slim: DataFrame, window: int, seed: int, share: float) -> lis
                 often = n > max(1, share * len(m))
                 yield pa.record_batch([pa.array([None, *value[often].view(np.int64).tolist()], pa.int64()), pa.array([len(m), *n[often].tolist()], pa.int64())], ["m", "n"])
 
-    found = slim.mapInArrow(run, "m long, n long").groupBy("m").agg(F.sum("n").alias("n"))
+    found = cut(slim.mapInArrow(run, "m long, n long").groupBy("m").agg(F.sum("n").alias("n")), "hot-minimisers")
     total = found.where("m is null").first()
     if not total:
         return []
@@ -177,11 +181,13 @@ def hot_minimisers(slim: DataFrame, window: int, seed: int, share: float) -> lis
 def flagged(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int = WINDOW, seed: int = SEED, buckets: int | None = None) -> tuple[DataFrame, DataFrame]:
     """(documents as doc, version, text; their runs of windows that come earlier elsewhere)."""
     ship(docs.sparkSession)
+    if not isinstance(docs.schema[key].dataType, IntegralType):
+        raise TypeError(f"identifiers must be integers, not {docs.schema[key].dataType.simpleString()}")
     slim = docs.select(F.coalesce(F.col(key).cast("long"), F.lit(LEAST)).alias("doc"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("version"), F.col(text).alias("text"))
     if buckets is None:
         total = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
         buckets = max(12, -(-total // BUCKET_BYTES))
-    hot = np.array(sorted(hot_minimisers(slim, window, seed, 1 / (4 * buckets))), np.int64).view(np.uint64)
+    hot = np.array(sorted(hot_minimisers(slim, window, seed, max(1 / (4 * buckets), 1 / MOST_HOT))), np.int64).view(np.uint64)
 
     def packed(it):
         for whole in it:
