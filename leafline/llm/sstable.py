@@ -9,8 +9,8 @@ size under names of their own; the manifest, written by Spark's committer, lists
 retried or speculative task leaves at most an unlisted file. Files go through pyarrow's file systems, to the shared
 folder named by spark.checkpoint.dir.
 
-Defined results: null or empty text has no ids before the end id; null identifiers sort first; repeated identifiers are
-kept, all in one range; an empty table gives no shard.
+Defined results: null or empty text has no ids before the end id; identifiers are integers (else a TypeError); null ones
+sort first; rows that repeat an identifier are all kept, in the order of their texts' hashes; an empty table gives no shard.
 """
 
 from __future__ import annotations
@@ -31,6 +31,7 @@ import pyarrow.fs as pafs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from leafline.llm._text import LOWER, batches, same_spans, span_hashes, string_buffers, words
 from leafline.llm.bpe import byte_alphabet
@@ -373,7 +374,11 @@ def write(docs: DataFrame, path: str, out: str, end_id: int, key: str = "doc_id"
     Returns the manifest: one row for each shard with path, place (partition and number within it), n_docs, n_tokens.
     """
     ship(docs.sparkSession)
-    ordered = docs.select(F.col(key).cast("long").alias("k"), F.col(text).alias("t")).repartitionByRange("k").sortWithinPartitions("k")
+    if not isinstance(docs.schema[key].dataType, IntegralType):
+        raise TypeError(f"identifiers must be integers, not {docs.schema[key].dataType.simpleString()}")
+    named = docs.select(F.col(key).cast("long").alias("k"), F.col(text).alias("t")).withColumn("h", F.xxhash64(F.coalesce("t", F.lit(""))))
+    # rows of one identifier are dealt by their texts' hashes, so one that many rows share fills no single task
+    ordered = named.repartitionByRange("k", "h").sortWithinPartitions("k", "h", "t").drop("h")
 
     def run(it):
         enc = chunk_encoder(path)
