@@ -193,7 +193,13 @@ def held_out(key) -> object:
 def train(table: DataFrame, labels: DataFrame, most: int = MOST_ROWS) -> Model:
     """Fits the model on labelled rows that are not held out."""
     marks = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").alias("_id")).agg(F.min("quality").alias("_y"))
-    rows = table.where(~held_out("key")).join(marks, F.col("key") == F.col("_id")).select(F.xxhash64("key").alias("_h"), "key", "_y", *FEATURES).orderBy("_h", "key", *FEATURES).limit(most)
+    rows = table.where(~held_out("key")).join(marks, F.col("key") == F.col("_id")).select(F.xxhash64("key").alias("_h"), "key", "_y", *FEATURES)
+    # a bound on the hash lets about twice the wanted rows through, so that no task merges the candidates of all others
+    n = rows.count()
+    near = rows.where(F.col("_h") < F.lit(int(2**64 * 2 * most / n - 2**63))) if n > 4 * most else rows
+    if n > 4 * most and near.count() < most:
+        near = rows
+    rows = near.orderBy("_h", "key", *FEATURES).limit(most)
     got = rows.toPandas()
     return fit(got[list(FEATURES)].to_numpy(float), (got["_y"] == 1).to_numpy(float))
 
