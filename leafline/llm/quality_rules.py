@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from leafline.llm._text import SPACE, batches, counts, mix, owner, span_hashes, string_buffers, window_hashes, words
-from leafline.session import cut, ship
+from leafline.session import cut, fresh, ship
 
 U = np.uint64
 #: Shares are held in so many steps.
@@ -181,8 +181,9 @@ def keep(docs: DataFrame, labels: DataFrame, key: str = "doc_id", stratum: str =
 
 
 def _applied(docs: DataFrame, table: DataFrame, stratum: str, text: str) -> DataFrame:
-    slim = table.select(F.col("stratum").alias("_stratum"), F.col("cutoff").alias("_cutoff"))
-    joined = docs.join(slim, docs[stratum].eqNullSafe(slim["_stratum"]), "left").drop("_stratum")
+    own, limit_ = fresh(docs.columns, "rule_stratum", "rule_cutoff")
+    slim = table.select(F.col("stratum").alias(own), F.col("cutoff").alias(limit_))
+    joined = docs.join(slim, docs[stratum].eqNullSafe(slim[own]), "left").drop(own)
     columns = docs.columns
     at, n_docs = joined.columns.index(text), len(columns)
 
