@@ -136,15 +136,15 @@ def _last_taken(r: DataFrame, budget: float) -> tuple[float, int] | None:
 def mix(docs: DataFrame, **options) -> DataFrame:
     """The taken documents, repeats included, with all their columns, whatever their names, range-sorted by virtual finish time."""
     key, cols = options.get("key", "doc_id"), docs.columns
-    own, h, at, salt = fresh(cols, "mix_key", "mix_h", "mix_at", "mix_salt")
+    own, h, at, salt, mine, hot_own, hot_h, n, copy = fresh(cols, "mix_key", "mix_h", "mix_at", "mix_salt", "mix_row", "hot_key", "hot_h", "hot_n", "mix_copy")
     p = plan(docs, **options).where("copies > 0").select(F.col("key").alias(own), F.col("h").alias(h), "m", "piece", F.slice("finish", F.lit(1), F.col("copies")).alias("finish"))
     # one row of the table stands for all that are identical; those of hot rows are dealt over copies of it
     total = docs.count()
-    hot = F.broadcast(p.where(F.col("m") * HOT > total).select(own, h, F.ceil(F.col("m") / PIECE).alias("n")).distinct().withColumn("n", F.least(F.lit(HOT).cast("long"), "n")))
-    offers = p.withColumn(salt, F.when(F.col("m") * HOT > total, F.pmod("piece", F.least(F.lit(HOT).cast("long"), F.ceil(F.col("m") / PIECE)))).otherwise(F.lit(0).cast("long")))
-    offers = offers.select(own, h, salt, F.explode("finish").alias(at))
-    mine = fresh([*cols, own, h, at, salt], "mix_row")[0]
+    is_hot, dealt = F.col("m") * HOT > total, F.least(F.lit(HOT).cast("long"), F.ceil(F.col("m") / PIECE))
+    hot = F.broadcast(p.where(is_hot).select(F.col(own).alias(hot_own), F.col(h).alias(hot_h), dealt.alias(n)).distinct())
+    offers = p.withColumn(salt, F.when(is_hot, F.pmod("piece", dealt)).otherwise(F.lit(0).cast("long"))).select(own, h, salt, F.explode("finish").alias(at))
     one = docs.withColumn(mine, F.xxhash64(*cols)).dropDuplicates([key, mine])
-    spread = one.join(hot, F.col(key).eqNullSafe(hot[own]) & (F.col(mine) == hot[h]), "left").select(*cols, mine, F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce(hot["n"] - 1, F.lit(0).cast("long")))).alias("_salt" + salt))
-    out = spread.join(offers, F.col(key).eqNullSafe(F.col(own)) & (F.col(mine) == F.col(h)) & (F.col("_salt" + salt) == F.col(salt))).select(*cols, at)
+    numbers = F.sequence(F.lit(0).cast("long"), F.coalesce(F.col(n) - 1, F.lit(0).cast("long")))
+    spread = one.join(hot, F.col(key).eqNullSafe(F.col(hot_own)) & (F.col(mine) == F.col(hot_h)), "left").select(*cols, mine, F.explode(numbers).alias(copy))
+    out = spread.join(offers, F.col(key).eqNullSafe(F.col(own)) & (F.col(mine) == F.col(h)) & (F.col(copy) == F.col(salt))).select(*cols, at)
     return out.repartitionByRange(at).sortWithinPartitions(at).select(*cols)
