@@ -185,3 +185,49 @@ def test_fingerprints_compose():
         a, b = data[:cut], data[cut:]
         assert p.whole(data) == (p.shift(p.whole(a), len(b)) + p.whole(b)) % p.m
     assert p.whole(np.zeros(2, np.uint8)) != p.whole(np.zeros(3, np.uint8))
+
+
+def set_of(r, base, change):
+    """base with some elements exchanged."""
+    s = sorted(base)
+    gone = set(r.sample(s, min(change, len(s))))
+    return {x for x in s if x not in gone} | {r.getrandbits(64) for _ in range(change)}
+
+
+def test_profiles_bound_the_distance():
+    r = random.Random(4)
+    for size in (1, 7, 60, 63, 64, 65, 500):
+        a = {r.getrandbits(64) for _ in range(size)}
+        for change in (0, 1, size // 7 + 1, size):
+            b = set_of(r, a, change) | {r.getrandbits(64) for _ in range(r.choice([0, size // 3]))}
+            h = np.array([*sorted(a), *sorted(b)], np.uint64)
+            pa_, pb = ngram_join.profiles(h, np.array([0, len(a), len(a) + len(b)]))
+            low = ngram_join.gap(pa_, pb)
+            assert low == ngram_join.gap(pb, pa_) <= len(a ^ b) and (low > 0 or a == b or len(a ^ b) % 2 == 0)
+
+
+@pytest.mark.parametrize("block", [2048, 6])
+def test_clusters_lose_no_link(spark, block, monkeypatch):
+    """Every link inside a cluster between components comes out of the second step, once, however the cluster is dealt."""
+    monkeypatch.setattr(ngram_join, "BLOCK", block)
+    r = random.Random(block)
+    base = {r.getrandbits(64) for _ in range(120)}
+    others = [set_of(r, base, 22) for _ in range(4)]
+    sets = [base] + [set_of(r, base, r.randint(0, 12)) for _ in range(14)] + [set_of(r, o, r.randint(0, 9)) for o in others for _ in range(6)]
+    names = sorted(r.randbytes(16) for _ in sets)
+    h = np.array([x for s in sets for x in sorted(s)], np.uint64)
+    faces = spark.createDataFrame(list(zip(names, map(len, sets), ngram_join.profiles(h, np.concatenate([[0], np.cumsum([len(s) for s in sets])])), strict=True)), "cls binary, n long, profile binary")
+    far = lambda i, j: 7 * len(sets[i] ^ sets[j]) > len(sets[i]) + len(sets[j])
+    # two centers that share most members
+    stars = [(names[c], names[i], len(sets[c]), len(sets[i]), ngram_join.gap(*ngram_join.profiles(np.array([*sorted(sets[c]), *sorted(sets[i])], np.uint64), np.array([0, len(sets[c]), len(sets[c]) + len(sets[i])]))), None if far(c, i) and i % 2 else len(sets[c] ^ sets[i])) for c in (0, 1) for i in range(c + 1, len(sets)) if i % 5 or c]
+    table = spark.createDataFrame(stars, "a binary, b binary, na long, nb long, low long, d long")
+    found = components(table.where("7 * d <= na + nb").select("a", "b"))
+    label = {bytes(x.node): bytes(x.label) for x in found.collect()}
+    got = Counter((bytes(x.a), bytes(x.b)) for x in ngram_join._cross(table, found, faces).collect())
+    assert got and set(got.values()) == {1}
+    members = {c: {s[1] for s in stars if s[0] == names[c]} for c in (0, 1)}
+    for i in range(len(sets)):
+        for j in range(i):
+            a, b = names[j], names[i]
+            if not far(i, j) and label.get(a, a) != label.get(b, b) and any({a, b} <= m for m in members.values()):
+                assert (a, b) in got
