@@ -7,11 +7,11 @@ from leafline.sources.relations import DICTIONARY, MAP, RASTER_H, RASTER_W, STAT
 from leafline.sources.relations import SETTINGS as RAW_SETTINGS
 
 P = "(SELECT greatest(1, count(*) // 120) FROM lineitem)"
-BOXES = f"""boxes AS (SELECT page, row_number() OVER (PARTITION BY page ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_discount, l_tax, l_shipdate, l_returnflag, l_linestatus) AS box_id,
+BOXES = f"""boxes AS MATERIALIZED (SELECT page, row_number() OVER (PARTITION BY page ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_discount, l_tax, l_shipdate, l_returnflag, l_linestatus) AS box_id,
   x1, y1, x1 + w AS x2, y1 + h AS y2, score FROM (SELECT *, l_orderkey % {P} AS page, (l_partkey * 37) % 1000 AS x1, (l_orderkey * 53 + l_suppkey * 17) % 1600 AS y1,
   40 + (l_partkey % 7) * 60 AS w, 10 + (CAST(l_quantity AS BIGINT) % 9) * 2 AS h, CAST(CAST(round(l_extendedprice * 100) AS BIGINT) % 1000 AS DOUBLE) / 1000 AS score FROM lineitem))"""
 BLOCKS = "blocks AS (SELECT page * 16 + box_id % 16 AS page, box_id, x1, y1, x2, y2, score FROM boxes)"
-FRAMES = f"""frames AS (SELECT page, row_number() OVER (PARTITION BY page ORDER BY o_orderkey) AS frame_id, x1, y1, CASE WHEN wall THEN {WIDTH} ELSE x1 + 100 + (o_custkey % 8) * 100 END AS x2, y1 + 40 + (o_orderkey % 11) * 30 AS y2
+FRAMES = f"""frames AS MATERIALIZED (SELECT page, row_number() OVER (PARTITION BY page ORDER BY o_orderkey) AS frame_id, x1, y1, CASE WHEN wall THEN {WIDTH} ELSE x1 + 100 + (o_custkey % 8) * 100 END AS x2, y1 + 40 + (o_orderkey % 11) * 30 AS y2
   FROM (SELECT *, o_orderkey % {P} AS page, o_orderkey % 17 = 0 AS wall, CASE WHEN o_orderkey % 17 = 0 THEN 0 ELSE (o_custkey * 31) % 900 END AS x1, (o_orderkey * 41 + o_custkey * 7) % 1500 AS y1 FROM orders))"""
 READ = "rd AS (SELECT *, CASE WHEN score >= 0.1 THEN repeat('ab ', CAST((x1 + box_id) % 9 AS INTEGER)) END AS text FROM boxes)"
 LINES = "tl AS (SELECT doc_id, i - 1 AS line_no, l[i] AS text FROM (SELECT doc_id, l, unnest(range(1, len(l) + 1)) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents)))"
