@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from leafline.llm import bpe, exact_dedup, license_scan, mixing, ngram_join, quality_gam, quality_rules, sstable, substring_dedup
-from tests.llm.test_rules_mixing import base
+from tests.llm.test_rules_mixing import base, fill
 
 #: Names that the operators use for columns of their own.
 CLASHES = """key _key h _h u at _at size _size source_size target copies finish first_finish n m piece c rank bucket cls profile component label stay same sha _sha keep_key keep_sha sha256
@@ -135,33 +135,44 @@ def test_identical_rows(spark, docs, piece, hot, monkeypatch):
     assert times == Counter({k: n for k, n in want.items() if n})
 
 
-def test_mix_by_hand(docs):
-    """Every offer in one list, sorted by virtual finish time and taken until the budget ends."""
-    got = mixing.plan(docs).collect()
-    u = {(r.key, r.h, r.piece): r.u for r in mixing.plan(docs).select("key", "h", "piece", F.xxhash64(F.lit(7), "key", "h", "piece").alias("u")).collect()}
+def plain_copies(docs):
+    """How often each (identifier, hash of the row) is taken: every offer in one list, sorted by virtual finish time and taken until the budget ends."""
+    number = Counter()
+    rows = []
+    for r in docs.withColumn("h_", F.xxhash64(*docs.columns)).collect():
+        name = (r.doc_id, r.h_)
+        rows.append((r.source, *name, number[name] // mixing.PIECE, base(r.text)[0]))
+        number[name] += 1
+    places = docs.sparkSession.createDataFrame([(k, h, piece) for _, k, h, piece, _ in rows], "key long, h long, piece long").distinct()
+    u = {(r.key, r.h, r.piece): r.u for r in places.withColumn("u", F.xxhash64(F.lit(7), "key", "h", "piece")).collect()}
     size, order = defaultdict(int), defaultdict(list)
-    for r in got:
-        size[r.source] += r.size
-        order[r.source].append(r)
-    sources = sorted(s for s in order if s is not None) + [None]
+    for s, k, h, piece, n in rows:
+        size[s] += n
+        order[s].append((u[k, h, piece], piece, (k, h), n))
+    sources = sorted(s for s in order if s is not None) + [None] * (None in order)
+    target = fill({s: 2 * size[s] for s in sources}, {s: (3, 1, 2)[i % 3] for i, s in enumerate(sources)}, 1.5 * sum(size.values()))
     offers = []
     for rank, s in enumerate(sources):
-        target, run = order[s][0].target, 0
+        run = 0
         # few rows are one bucket, ordered by their hash
-        for r in sorted(order[s], key=lambda r: (u[r.key, r.h, r.piece], r.piece)):
-            run += r.size
-            if r.size:
-                offers += [((e * size[s] + run) / target, rank, (r.key, r.h), r.size) for e in (0, 1)]
+        for _, _, name, n in sorted(order[s], key=lambda x: x[:2]):
+            run += n
+            if n:
+                offers += [((e * size[s] + run) / target[s], rank, name, n) for e in (0, 1)]
     left, copies = 1.5 * sum(size.values()), Counter()
-    for _, _, name, n in sorted(offers):
+    for _, _, name, n in sorted(offers, key=lambda x: x[:2]):
         if n > left:
             break
         left -= n
         copies[name] += 1
+    return copies
+
+
+def test_mix_by_hand(docs):
     want = Counter()
-    for r in got:
+    for r in mixing.plan(docs).collect():
         want[r.key, r.h] += r.copies
-    assert Counter({k: n for k, n in want.items() if n}) == copies
+    assert Counter({k: n for k, n in want.items() if n}) == plain_copies(docs)
 
 
 def upper_bound_holds(rejected, good, risk, delta):
@@ -177,22 +188,13 @@ def plain_steps(text):
     return max(share(symbols, chars), share(dup, lines), share(repeat, words), share(upper, chars), share(text.count("!"), words), share(text.count("|"), words)), words < 10 or 100 * repeat > 20 * words
 
 
-def test_kept_by_hand(spark, docs):
-    """Cutoffs by going through all of them, and every document by the cutoff of its language."""
-    r = random.Random(3)
-    rows, marks = [], {}
-    for i in range(1300):
-        good = r.random() < 0.8
-        words = [f"w{i}x{k}" for k in range(r.randint(8, 40))]
-        words = [w.upper() if r.random() < (0.05 if good else r.choice([0.05, 0.7])) else w for w in words]
-        words += ["!" * r.randint(0, 2 if good else 9), "#" * r.randint(0, 3 if good else 60)]
-        rows.append((i, " ".join(words), r.choice(["en", "fr"]) if i < 1250 else "xx", "s", 1))
-        if r.random() < 0.9:
-            marks[i] = int(good)
-    strata = sorted({x[2] for x in rows})
+def plain_kept(rows, marks):
+    """Whether each document (identifier, text, language) stays: cutoffs by going through all of them, and every document by the cutoff of its language. Returns cutoffs too."""
+    steps = {i: plain_steps(t or "") for i, t, _ in rows}
+    strata = {x[2] for x in rows if x[0] in marks}
     cutoffs = {}
     for lang in strata:
-        held = {i: plain_steps(t) for i, t, g, *_ in rows if g == lang and i in marks}
+        held = {i: steps[i] for i, _, g in rows if g == lang and i in marks}
         good = [0 if failed else step for i, (step, failed) in held.items() if marks[i]]
         bad = [0 if failed else step for i, (step, failed) in held.items() if not marks[i]]
         best = None
@@ -204,11 +206,22 @@ def test_kept_by_hand(spark, docs):
             if caught and (best is None or caught > best[0]):
                 best = (caught, cutoff)
         cutoffs[lang] = best[1] if best else None
+    return {i: not steps[i][1] and (cutoffs.get(lang) is None or steps[i][0] <= cutoffs[lang]) for i, _, lang in rows}, cutoffs
+
+
+def test_kept_by_hand(spark, docs):
+    r = random.Random(3)
+    rows, marks = [], {}
+    for i in range(1300):
+        good = r.random() < 0.8
+        words = [f"w{i}x{k}" for k in range(r.randint(8, 40))]
+        words = [w.upper() if r.random() < (0.05 if good else r.choice([0.05, 0.7])) else w for w in words]
+        words += ["!" * r.randint(0, 2 if good else 9), "#" * r.randint(0, 3 if good else 60)]
+        rows.append((i, " ".join(words), r.choice(["en", "fr"]) if i < 1250 else "xx", "s", 1))
+        if r.random() < 0.9:
+            marks[i] = int(good)
+    want, cutoffs = plain_kept([x[:3] for x in rows], marks)
     assert cutoffs["xx"] is None and cutoffs["en"] is not None and cutoffs["fr"] is not None
-    want = {}
-    for i, t, lang, *_ in rows:
-        step, failed = plain_steps(t)
-        want[i] = not failed and (cutoffs[lang] is None or step <= cutoffs[lang])
     labels = spark.createDataFrame([(i, q, 0) for i, q in marks.items()], "doc_id long, quality int, toxic int")
     table = spark.createDataFrame(rows, docs.schema).repartition(3)
     assert {x.doc_id: x.kept for x in quality_rules.verdicts(table, labels).collect()} == want

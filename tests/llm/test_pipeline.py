@@ -4,8 +4,8 @@ import corpus_pipeline
 import public_tokenizers
 from tokenizers import Tokenizer
 
-from leafline.llm import mixing, quality_rules
 from leafline.session import load
+from tests.llm.test_edges import plain_copies, plain_kept
 from tests.llm.test_joins import LOW, shingles
 
 SF = "/root/testdata/sf0.001"
@@ -18,8 +18,11 @@ def test_stages(spark):
     rows = [r.asDict() for r in docs.collect()]
     names = [n for n, _ in corpus_pipeline.STAGES]
     assert names == ["quality rules", "exact dedup", "n-gram Jaccard join", "mixing", "BPE"]
-    kept = {r.doc_id for r in quality_rules.verdicts(docs, load(spark, SF, "labels")).where("kept").collect()}
-    rows = [r for r in rows if r["doc_id"] in kept]
+    marks = {}
+    for m in load(spark, SF, "labels").collect():
+        marks[m.doc_id] = min(m.quality, marks.get(m.doc_id, m.quality))
+    kept, _ = plain_kept([(r["doc_id"], r["text"], r["lang"]) for r in rows], marks)
+    rows = [r for r in rows if kept[r["doc_id"]]]
     stages = dict(corpus_pipeline.STAGES)
     docs = stages["quality rules"](spark, docs, SF)
     assert docs.columns == columns and sorted(r.doc_id for r in docs.collect()) == sorted(r["doc_id"] for r in rows)
@@ -47,7 +50,7 @@ def test_stages(spark):
     stay = {min(g) for g in groups.values()}
     docs = stages["n-gram Jaccard join"](spark, docs, SF)
     assert docs.columns == columns and {r.doc_id for r in docs.collect()} == stay and docs.count() == len(stay)
-    copies = {r.key: r.copies for r in mixing.plan(docs).collect()}
+    copies = {k: n for (k, _), n in plain_copies(docs).items()}
     mixed = stages["mixing"](spark, docs, SF)
     assert mixed.columns == columns
     times = Counter(r.doc_id for r in mixed.collect())
