@@ -41,7 +41,7 @@ from leafline.session import cut, fresh, scratch, ship
 U = np.uint64
 SHINGLE = 5
 #: Bytes of text that a task works on at a time; bytes of text for each bucket of keys, on average.
-SLAB, BUCKET_BYTES = 5 << 20, 12 << 20
+SLAB, BUCKET_BYTES = 3 << 20, 12 << 20
 #: A key of more classes than this is frequent; so many of the most frequent keys at most are sent to the tasks (they steer cost, not results).
 FREQUENT, MOST_FREQUENT = 16, 200_000
 #: Share of the hash range (as 1/EIGHTH) for one-deletion segments, exact segments per shingle of the largest set, shingles per one-deletion segment.
@@ -50,6 +50,8 @@ EIGHTH, EXACT, WIDE = 8, 1.0, 32
 BLOCK = 2048
 #: Parts of a profile for each shingle, at least (less than twice as many).
 PARTS = 4
+#: Parts that are counted at a time.
+COUNTED = 1 << 19
 REGION = U((1 << 32) - (1 << 32) // EIGHTH)
 
 
@@ -184,11 +186,17 @@ def profiles(h: np.ndarray, begin: np.ndarray) -> list[bytes]:
     size = np.diff(begin)
     bits = np.maximum(6, np.ceil(np.log2(np.maximum(size, 1) * PARTS)).astype(np.int64))
     base = np.concatenate([[0], np.cumsum(1 << bits)])
-    doc = np.repeat(np.arange(len(size)), size)
-    place = (h & ((U(1) << bits[doc].astype(np.uint64)) - U(1))).astype(np.int64) + base[doc]
-    odd = (np.bincount(place, minlength=int(base[-1])) & 1).astype(bool)
-    raw, ends = np.packbits(odd, bitorder="little").tobytes(), base >> 3
-    return [raw[a:b] for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
+    out: list[bytes] = []
+    x = 0
+    while x < len(size):  # so many texts at a time that the counts stay small
+        y = max(x + 1, int(np.searchsorted(base, base[x] + COUNTED, "right")) - 1)
+        doc = np.repeat(np.arange(x, y), size[x:y])
+        place = (h[begin[x] : begin[y]] & ((U(1) << bits[doc].astype(np.uint64)) - U(1))).astype(np.int64) + (base[doc] - base[x])
+        odd = (np.bincount(place, minlength=int(base[y] - base[x])) & 1).astype(bool)
+        raw, ends = np.packbits(odd, bitorder="little").tobytes(), (base[x : y + 1] - base[x]) >> 3
+        out += [raw[a:b] for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
+        x = y
+    return out
 
 
 def folded(x: np.ndarray, words_: int) -> np.ndarray:
