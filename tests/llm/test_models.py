@@ -105,3 +105,30 @@ def test_real_licences(spark):
     rows += [("n/LICENSE", "A contract of the parties of the first part about the use of the house and of the garden, to which no licence applies.", None), ("n/a.py", "# a comment\n# of two lines on permission bits\nx = 1", None)]
     got = {r.path: r.own_licence for r in license_scan.scan(spark.createDataFrame([r[:2] for r in rows], "path string, text string")).collect()}
     assert got == {p: n for p, _, n in rows}
+
+
+ODD = [
+    "Prose before it.\nReleased under the MIT License.", "no cue", "SPDX-License-Identifier: ISC", "// SPDX-License-Identifier: ISC\nint x;" + " y" * 200,
+    "# This Source Code Form is subject to the terms of the Mozilla Public\n# License, v. 2.0. If a copy of the MPL was not distributed with this\n# file, You can obtain one at https://mozilla.org/MPL/2.0/." + "\nx" * 150,
+    "Licensed under CC BY 4.0", "L\u0130CENSED under CC BY-SA 4.0", "Released under the MIT L\u212aicense", "", None, "All rights reserved.\n" + "long prose\n" * 40, "Released under the MIT License",
+]
+
+
+@pytest.mark.parametrize("data", ["odd", "small"])
+def test_license_query_against_its_sql(spark, small, tmp_path, data):
+    """Licence files with prose, SPDX lines, wrapped headers, slashes in sources and languages: as the SQL has them."""
+    import duckdb
+
+    from leafline.llm import oracles, queries
+
+    if data == "odd":
+        places = [("s", "en"), ("s", "en/0"), ("s/en", "x"), ("s", None), (None, ""), ("", "")]
+        rows = [(i * len(places) + j, t, source, lang, 1) for i, t in enumerate(ODD) for j, (source, lang) in enumerate(places) if (i + j) % 4]
+        spark.createDataFrame(rows, "doc_id long, text string, source string, lang string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    at = str(tmp_path) if data == "odd" else small.replace("sf0.001", "sf0.01")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{at}/documents.parquet{'/*.parquet' if data == 'odd' else ''}'")
+    want = con.sql(oracles.OP9)
+    got = queries.op9_license_scan(spark, at)
+    assert sorted(got.columns) == sorted(want.columns)
+    assert sorted(map(tuple, got.select(want.columns).collect()), key=repr) == sorted(want.fetchall(), key=repr)
