@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from leafline.functions import geometry as G
 from leafline.functions import text as T
 from leafline.operators import catalog, decode, detect, frames, jobs, order, overlay, raster, region, suppress
-from leafline.session import load
+from leafline.session import cut, freed, load, scratch
 from leafline.sources import files
 from leafline.sources import relations as R
 
@@ -126,9 +128,9 @@ def column_backtrack(s, sf):
     return order.backtracks(order.reading(R.boxes(s, sf), ["page"]), ["page"])
 
 
-def _read(s, sf):
+def _read(s, sf, b=None):
     """Recognised lines: boxes with text, those of low score not returned."""
-    b = R.boxes(s, sf)
+    b = R.boxes(s, sf) if b is None else b
     text = F.repeat(F.lit("ab "), ((F.col("x1") + F.col("box_id")) % 9).cast("int"))
     return b.withColumn("text", F.when(F.col("score") >= 0.1, text))
 
@@ -462,14 +464,14 @@ def reading_plan(s, sf):
     return detect.reading_plan(R.quads(s, sf)).select(*B, "warp", "crop_x", "crop_y", "crop_width", "crop_height", "width")
 
 
-def _plan(s, sf):
+def _plan(s, sf, b=None, f=None):
     """A plan's inputs: what recognition returns at first, of suspects and of rescued lines, for any box."""
-    b = R.boxes(s, sf)
-    first = _read(s, sf).where("trim(text) <> '' and box_id % 7 <> 0").select(*B, "text")
+    b, f = R.boxes(s, sf) if b is None else b, R.frames(s, sf) if f is None else f
+    first = _read(s, sf, b).where("trim(text) <> '' and box_id % 7 <> 0").select(*B, "text")
     again = catalog.first_per(b.where("box_id % 2 = 0").select("page", "x1", "y1", F.repeat(F.lit("z"), (F.col("box_id") % 13).cast("int")).alias("text")), ["page", "x1", "y1"], ["text"])
     p = {k: G.scaled(c, F.lit(2)) for k, c in G.padded(G.box(), F.lit(R.WIDTH), F.lit(PAGE_HEIGHT)).items()}
     rescued = catalog.first_per(b.where("box_id % 3 > 0").select("page", p["x1"].alias("x1"), p["y1"].alias("y1"), F.concat(F.lit("r"), F.col("box_id").cast("string")).alias("text")), ["page", "x1", "y1"], ["text"])
-    return b, R.frames(s, sf), first, again, rescued, R.WIDTH, PAGE_HEIGHT, 2.0
+    return b, f, first, again, rescued, R.WIDTH, PAGE_HEIGHT, 2.0
 
 
 @query
@@ -484,11 +486,24 @@ def region_plan(s, sf):
     return region.plan(*_plan(s, sf), two_column=True).select(*B, "origin", "text", "frame_id", "seq")
 
 
+#: Pages counted in one round, and rounds at most: each reads the tables once.
+ROUND_PAGES, ROUNDS = 100_000, 4
+
+
 @query
 def region_counters(s, sf):
-    b, f, first, again, rescued, w, h, ratio = _plan(s, sf)
-    claimed = frames.claim(b, f)
-    return region.counters(claimed, region.lines(claimed, first, again, rescued, F.lit(w), F.lit(h), F.lit(ratio)))
+    """Pages do not touch each other: they are counted in rounds, so that tables between hold a part of the pages."""
+    n = min(ROUNDS, -(-R.n_pages(s, sf) // ROUND_PAGES))
+    return reduce(DataFrame.unionByName, [_counters(s, sf, F.pmod("page", F.lit(n)) == k) for k in range(n)])
+
+
+def _counters(s: SparkSession, sf: str, some: Column) -> DataFrame:
+    """Counters of some pages; of what it writes only these stay."""
+    with scratch(s) as keep, freed(s):
+        b, f = cut(R.boxes(s, sf).where(some), "counters-boxes"), cut(R.frames(s, sf).where(some), "counters-frames")
+        b, f, first, again, rescued, w, h, ratio = _plan(s, sf, b, f)
+        claimed = cut(frames.claim(b, f), "counters-claimed")
+        return keep(region.counters(claimed, region.lines(claimed, first, again, rescued, F.lit(w), F.lit(h), F.lit(ratio))), "counters")
 
 
 @query

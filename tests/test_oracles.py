@@ -47,3 +47,36 @@ def test_entry(spark):
 
     assert __spark_entry__.entry(spark).count() > 0
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def test_region_counters_in_rounds(spark, small, duck, monkeypatch):
+    """Rounds give the same rows as one; of each only its counters stay, and no round writes half of all boxes at once."""
+    from leafline import session
+    from leafline.plans import queries
+
+    made = []
+
+    def cut(df, what, f=session.cut):
+        out = f(df, what)
+        made.append((what, out.count()))
+        return out
+
+    monkeypatch.setattr(queries, "ROUND_PAGES", 15)
+    monkeypatch.setattr(queries, "cut", cut)
+    before = len(session._MADE)
+    got, want = ALL["region_counters"](spark, small), duck.sql(ORACLES["region_counters"]).df()
+    assert rows(got.toPandas()) == rows(want)
+    assert len(session._MADE) - before == queries.ROUNDS
+    boxes = [n for what, n in made if what == "counters-boxes"]
+    assert len(boxes) == queries.ROUNDS and sum(boxes) == duck.sql("SELECT count(*) FROM lineitem").fetchall()[0][0] and 2 * max(boxes) < sum(boxes)
+    assert spark.conf.get(session._FREE, None) is None
+
+
+def test_freed_puts_the_setting_back(spark):
+    from leafline import session
+
+    spark.conf.set(session._FREE, "false")
+    with session.freed(spark):
+        assert spark.conf.get(session._FREE) == "true"
+    assert spark.conf.get(session._FREE) == "false"
+    spark.conf.unset(session._FREE)
